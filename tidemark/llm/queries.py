@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crop_sizes
+from tidemark.llm import crop_sizes, matching
 from tidemark.session import table
 
 SOURCE_SQL = "CASE regexp_replace(lower({0}), '[^a-z]', '', 'g') WHEN 'yolobruv' THEN 'yolo-bruv' WHEN '' THEN NULL ELSE regexp_replace(lower({0}), '[^a-z]', '', 'g') END"
@@ -56,3 +56,25 @@ FROM g JOIN sides d ON d.campaign = g.campaign AND d.source = g.source AND d.def
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     builds = crop_sizes.sketches_per_build(spark, table(spark, sf, "shard_records"))
     return crop_sizes.up_to_build(builds, builds).select("campaign", "source", "definition", "build_no", "n", "p10", "median", "p90")
+
+
+# 6. groups of matches
+URL_SQL = "concat(lower(regexp_extract({0}, '^([^/]*)', 1)), regexp_extract({0}, '^[^/]*(.*)$', 1))"
+BARE_SQL = "url_decode(replace(regexp_replace(trim({0}, ' \t\n\r'), '^https?://', '', 'i'), '+', '%2B'))"
+
+
+def _url(c: str) -> str:
+    return URL_SQL.format(BARE_SQL.format(c))
+
+
+@query(
+    "p6_found",
+    f"""WITH RECURSIVE l AS (SELECT DISTINCT {_url('frame_url_a')} a, {_url('frame_url_b')} b FROM frame_matches WHERE frame_url_a IS NOT NULL AND frame_url_b IS NOT NULL),
+e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+i AS (SELECT DISTINCT image_id, {_url('frame_url')} u FROM images),
+r AS (SELECT image_id s, u FROM i WHERE u IN (SELECT a FROM e) UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.u),
+g AS (SELECT i.image_id, min(r.s) group_id FROM i JOIN r ON r.u = i.u GROUP BY i.image_id)
+SELECT image_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id HAVING count(*) > 1)""",
+)
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.image_groups(spark, table(spark, sf, "images"), table(spark, sf, "frame_matches"))
