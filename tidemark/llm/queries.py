@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crop_sizes, matching
+from tidemark.llm import crop_sizes, matching, sampling, splits
 from tidemark.session import table
 
 SOURCE_SQL = "CASE regexp_replace(lower({0}), '[^a-z]', '', 'g') WHEN 'yolobruv' THEN 'yolo-bruv' WHEN '' THEN NULL ELSE regexp_replace(lower({0}), '[^a-z]', '', 'g') END"
@@ -78,3 +78,46 @@ SELECT image_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP
 )
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return matching.image_groups(spark, table(spark, sf, "images"), table(spark, sf, "frame_matches"))
+
+
+# 4. splits
+PLACE_SQL = r"replace(regexp_replace(trim(regexp_replace(concat(' ', regexp_replace(lower(trim({0})), '[^a-z0-9]+', ' ', 'g')), '([^0-9])0+([0-9])', '\1\2', 'g')), '([0-9]) ([0-9])', '\1_\2', 'g'), ' ', '')"
+
+
+@query(
+    "p4_found",
+    f"""WITH named AS (SELECT DISTINCT source, deployment, coalesce(derived_level = 'cruise', false) cruise FROM fn_dev_groups UNION SELECT source, deployment, false FROM dev_deployments),
+listed AS (SELECT source, deployment, cruise, {PLACE_SQL.format('deployment')} k FROM named),
+crops AS (SELECT DISTINCT {SOURCE_SQL.format('source')} source, {PLACE_SQL.format('grp')} k, {PLACE_SQL.format("regexp_extract(trim(grp), '^([^:/|]*[:/|][^:/|]*)[:/|]', 1)")} head, lower(trim(split, ' \t\n')) split FROM split_crops),
+placed AS (SELECT source, k, head, split FROM crops WHERE k <> '' AND split IN ('train', 'dev', 'lock')),
+owned AS (SELECT coalesce(c.source, l.source) source, coalesce(c.deployment, l.deployment) deployment, p.split FROM placed p LEFT JOIN listed l ON l.source = p.source AND l.k = p.k
+    LEFT JOIN listed c ON c.cruise AND c.source = p.source AND c.k = p.head)
+SELECT source, deployment FROM owned WHERE deployment IS NOT NULL GROUP BY source, deployment HAVING count(DISTINCT split) > 1""",
+)
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.conflicting(spark, table(spark, sf, "split_crops"), table(spark, sf, "dev_deployments"), table(spark, sf, "fn_dev_groups"))
+
+
+@query("p4_assign")
+def p4_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.assign(spark, table(spark, sf, "split_crops"), table(spark, sf, "dev_deployments"), table(spark, sf, "fn_dev_groups"))
+
+
+# 7. samples
+NAME_SQL = r"replace(regexp_replace(lower(trim({0}, ' \t\n')), '\.(jpe?g|png)$', ''), '_', '-')"
+
+
+@query(
+    "p7_found",
+    f"""WITH s AS (SELECT DISTINCT seed, run_no, {NAME_SQL.format('crop_key')} k FROM lock_selection),
+runs AS (SELECT DISTINCT seed, run_no FROM s), keys AS (SELECT DISTINCT crop_key FROM split_crops)
+SELECT DISTINCT a.seed, c.crop_key FROM s a JOIN keys c ON {NAME_SQL.format('c.crop_key')} = a.k JOIN runs r ON r.seed = a.seed AND r.run_no > a.run_no
+WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.seed = a.seed AND b.run_no = r.run_no AND b.k = a.k)""",
+)
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.lost(table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
+
+
+@query("p7_sample")
+def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.current_sample(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
