@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000  # most rows of a small side that is sent to every executor
+BROADCAST_ROWS = 100_000  # most rows of a small side that is sent to every executor
 SALTS = 16
 
 
