@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crop_sizes, matching, sampling, splits
+from tidemark.llm import crop_sizes, matching, names, sampling, splits
 from tidemark.session import table
 
 SOURCE_SQL = "CASE regexp_replace(lower({0}), '[^a-z]', '', 'g') WHEN 'yolobruv' THEN 'yolo-bruv' WHEN '' THEN NULL ELSE regexp_replace(lower({0}), '[^a-z]', '', 'g') END"
@@ -121,3 +121,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p7_sample")
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.current_sample(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
+
+
+# 2. typed names
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.map_names(spark, table(spark, sf, "fishwio"), table(spark, sf, "worms_names")).select("map_id", "aphia_id")
+
+
+@query("p2_report")
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return names.map_names(spark, table(spark, sf, "fishwio"), table(spark, sf, "worms_names"))
