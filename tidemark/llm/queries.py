@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crop_sizes, matching, names, sampling, splits
-from tidemark.session import table
+from tidemark.llm import crop_sizes, matching, names, neighbours, sampling, splits
+from tidemark.session import Scratch, table
 
 SOURCE_SQL = "CASE regexp_replace(lower({0}), '[^a-z]', '', 'g') WHEN 'yolobruv' THEN 'yolo-bruv' WHEN '' THEN NULL ELSE regexp_replace(lower({0}), '[^a-z]', '', 'g') END"
 
@@ -132,3 +132,27 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p2_report")
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return names.map_names(spark, table(spark, sf, "fishwio"), table(spark, sf, "worms_names"))
+
+
+# 5. similar vectors
+UNIT_SQL = "list_transform({0}, lambda y: y::DOUBLE / sqrt(list_sum(list_transform({0}, lambda z: z::DOUBLE * z::DOUBLE))))"
+FINITE_SQL = "({0} IS NOT NULL AND len(list_filter({0}, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND list_sum(list_transform({0}, lambda z: abs(z::DOUBLE))) > 0)"
+NEAR_SQL = f"""WITH r AS (SELECT DISTINCT ON (readout_id) * FROM readouts),
+u AS (SELECT readout_id id, backbone, layer, {UNIT_SQL.format('patch_mean')} v FROM r WHERE backbone = 'murk-so400' AND {FINITE_SQL.format('patch_mean')}
+    UNION ALL SELECT readout_id, backbone, layer, list_concat({UNIT_SQL.format('cls')}, {UNIT_SQL.format('patch_mean')}) FROM r WHERE backbone <> 'murk-so400' AND {FINITE_SQL.format('cls')} AND {FINITE_SQL.format('patch_mean')}),
+p AS (SELECT a.id a, b.id b, list_cosine_similarity(a.v, b.v) s FROM u a JOIN u b ON a.backbone = b.backbone AND a.layer = b.layer AND a.id <> b.id),
+t AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) rn FROM p QUALIFY rn <= 5)"""
+
+
+@query("p5_found", NEAR_SQL + " SELECT x.a readout_id_a, x.b readout_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.s >= 0.9")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.close_pairs(spark, table(spark, sf, "readouts"))
+
+
+@query("p5_neighbours")
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set: every readout whose id is divisible by 50, against all shards."""
+    readouts = table(spark, sf, "readouts")
+    units = Scratch(spark, "units").save(neighbours.unit_vectors(readouts), "units")
+    asked = readouts.filter("readout_id % 50 = 0").select(F.col("readout_id").alias("id")).distinct()
+    return neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM)
