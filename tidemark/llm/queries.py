@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crop_sizes, matching, names, neighbours, sampling, splits
+from tidemark.llm import crop_sizes, garbled, leaks, matching, mixing, names, neighbours, sampling, splits
 from tidemark.session import Scratch, table
 
 SOURCE_SQL = "CASE regexp_replace(lower({0}), '[^a-z]', '', 'g') WHEN 'yolobruv' THEN 'yolo-bruv' WHEN '' THEN NULL ELSE regexp_replace(lower({0}), '[^a-z]', '', 'g') END"
@@ -156,3 +156,38 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     units = Scratch(spark, "units").save(neighbours.unit_vectors(readouts), "units")
     asked = readouts.filter("readout_id % 50 = 0").select(F.col("readout_id").alias("id")).distinct()
     return neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM)
+
+
+# 8. leaked evaluation texts
+@query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, sf, "documents"), table(spark, sf, "eval_items")).filter("kind = 'repeated'").select("doc_id", "item_id")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+# 10. wrong encodings
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.restore(spark, table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+@query("p10_restored")
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.restore(spark, table(spark, sf, "documents"))
+
+
+# 9. mixing
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    mixed = mixing.mix(spark, table(spark, sf, "documents"), targets)
+    return mixing.actual_shares(Scratch(spark, "mixed").save(mixed.drop("tokens"), "mixed"), targets)
