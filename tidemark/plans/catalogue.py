@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators import compaction
+from tidemark.plans import core_a, core_b  # noqa: F401  (they register their queries)
+from tidemark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tidemark.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query under a name, with its SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
 
 @query(
     "p1_found",
