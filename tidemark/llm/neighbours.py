@@ -21,12 +21,13 @@ from tidemark.llm.vamana import Graph
 from tidemark.session import Scratch
 
 K = 5
-SHARD = 3072  # vectors of a shard on average
-MOST_CENTRES = 512  # of a group; larger cells are split by hash
-SAMPLE = 8192  # vectors of a group that the centres are fitted on
+SHARD = 512  # vectors of a shard on average, where a query searches its nearest cells
+WIDE_SHARD = 4096  # where it searches all
+MOST_CENTRES = 1024  # of a group; larger cells are split by hash
+SAMPLE = 16384  # vectors of a group that the centres are fitted on
 PROBES = 8  # cells that a query searches when not all
 QUERIES = 16384  # of one shard that one task answers
-BEAM = 24
+BEAM = 16
 WIDE_BEAM = 64
 ALONE = ("murk-so400",)  # backbones whose readout is patch_mean alone
 UNIT = "id long, grp string, vec binary"
@@ -81,7 +82,7 @@ def _matrix(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
 
-def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFrame | None = None, probes: int | None = PROBES, least: float = -2.0, beam: int = BEAM) -> DataFrame:
+def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFrame | None = None, probes: int | None = PROBES, least: float = -2.0, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """(id, neighbour, sim): the k most similar other vectors of the same group for each query id.
 
     units as from unit_vectors, queries a DataFrame of ids or None for all.
@@ -105,7 +106,7 @@ def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFram
     for g, n in sizes.items():
         own = sorted((r["rep"], r["vec"]) for r in picked if r["grp"] == g)
         if own:
-            centres[g] = fit_centres(_matrix([v for _, v in own]), int(max(1, min(MOST_CENTRES, -(-n // SHARD)))))
+            centres[g] = fit_centres(_matrix([v for _, v in own]), int(max(1, min(MOST_CENTRES, -(-n // shard)))))
     shared = spark.sparkContext.broadcast(centres)  # at most MOST_CENTRES vectors per group
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFram
     index = placed.select("grp", F.element_at("cells", 1).alias("cell"), "rep", "vec")
     asked = asking.select("grp", F.explode("cells").alias("cell"), "rep", "vec")
     # a row per cell, at most MOST_CENTRES per group: into how many shards and query portions it goes
-    n_index = index.groupBy("grp", "cell").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("shards"))
+    n_index = index.groupBy("grp", "cell").agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("shards"))
     n_asked = asked.groupBy("grp", "cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("portions"))
     plan = F.broadcast(scratch.save(n_index.join(n_asked, ["grp", "cell"]), "plan"))
 

@@ -155,7 +155,7 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     readouts = table(spark, sf, "readouts")
     units = Scratch(spark, "units").save(neighbours.unit_vectors(readouts), "units")
     asked = readouts.filter("readout_id % 50 = 0").select(F.col("readout_id").alias("id")).distinct()
-    return neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM)
+    return neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM, shard=neighbours.WIDE_SHARD)
 
 
 # 8. leaked evaluation texts

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 DEGREE = 24
-BEAM = 40
+BEAM = 32
 ALPHA = 1.2  # relaxation of the pruning, on distances
 ENTRIES = 8
 BLOCK = 512
