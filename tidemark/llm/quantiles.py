@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +74,32 @@ def at_ranks(levels: list[np.ndarray], shares: np.ndarray) -> np.ndarray:
     return items[order][np.minimum(at, len(items) - 1)]
 
 
-def _levels(row_levels: object) -> list[np.ndarray]:
-    return [np.asarray(x, float) for x in row_levels]  # type: ignore[union-attr]
+def _encode(sketches: list[list[np.ndarray]]) -> pa.ListArray:
+    inner = [np.asarray(level, float) for levels in sketches for level in levels]
+    outer_at = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+    inner_at = np.cumsum([0, *map(len, inner)]).astype(np.int32)
+    values = pa.array(np.concatenate(inner) if inner else np.empty(0), pa.float64())
+    return pa.ListArray.from_arrays(pa.array(outer_at), pa.ListArray.from_arrays(pa.array(inner_at), values))
+
+
+def _cut(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(bounds of each row, flat values) of a list column without nulls."""
+    at = column.offsets.to_numpy()
+    return at - at[0], column.values.slice(at[0], at[-1] - at[0])
+
+
+def _decode(column: pa.Array) -> list[list[np.ndarray]]:
+    outer, levels = _cut(column)
+    inner, values = _cut(levels)
+    flat = values.to_numpy(zero_copy_only=False)
+    return [[flat[inner[j] : inner[j + 1]] for j in range(a, b)] for a, b in zip(outer[:-1], outer[1:], strict=True)]
+
+
+def _schema(df: DataFrame, keys: list[str], more: str) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", " + more
+
+
+FLUSH = 1 << 18  # rows that a task holds before it sorts them into sketches
 
 
 def build_sketches(values: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
@@ -84,37 +109,59 @@ def build_sketches(values: DataFrame, keys: list[str], value: str, k: int = K) -
     holds a third of all rows costs each task only its share; an empty table
     gives no sketch.
     """
-    fields = ", ".join(f"`{c}` {t}" for c, t in values.select(*keys).dtypes)
 
-    def partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-        for frame in frames:
-            for key, group in frame.groupby(keys, dropna=False, sort=False)[value]:
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}  # key: n, levels
+        schema: list = []
+
+        def settle(rows: pa.Table) -> None:
+            codes = np.zeros(len(rows), np.int64)
+            for c in keys:
+                own, levels = pd.factorize(rows.column(c).to_pandas(), use_na_sentinel=False)
+                codes = codes * len(levels) + own
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            data = rows.column(value).to_numpy()[order]
+            heads = [rows.column(c).take(pa.array(order[starts])).to_pylist() for c in keys]
+            for key, part in zip(zip(*heads, strict=True), np.split(data, starts[1:]), strict=True):
                 own = held.setdefault(key, [0, [np.empty(0)]])
                 rng = np.random.default_rng(own[0])
-                data = group.to_numpy(float)
-                for start in range(0, len(data), 8 * k):
-                    own[1][0] = np.concatenate([own[1][0], data[start : start + 8 * k]])
+                for start in range(0, len(part), 8 * k):
+                    own[1][0] = np.concatenate([own[1][0], part[start : start + 8 * k]])
                     own[1] = compress(own[1], k, rng)
-                own[0] += len(data)
+                own[0] += len(part)
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            schema = batch.schema
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= FLUSH:
+                settle(pa.Table.from_batches(waiting))
+                waiting = []
+        if waiting and sum(map(len, waiting)):
+            settle(pa.Table.from_batches(waiting))
         if held:
-            rows = [(*(None if x is None or x is pd.NA or x != x else x for x in key), n, levels) for key, (n, levels) in held.items()]
-            yield pd.DataFrame(rows, columns=[*keys, "n", "levels"])
+            columns = list(zip(*held, strict=True))
+            arrays = [pa.array(c, schema.field(name).type) for name, c in zip(keys, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x[0] for x in held.values()], pa.int64()), _encode([x[1] for x in held.values()])], names=[*keys, "n", "levels"])
 
     clean = values.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return clean.mapInPandas(partials, f"{fields}, n long, levels array<array<double>>")
+    return clean.mapInArrow(partials, _schema(values, keys, "n long, levels array<array<double>>"))
 
 
 def merge_sketches(partials: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Merges all sketches of a key; the input of a key is bounded by its number of sketches times about 3k items."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in partials.select(*keys).dtypes)
+    """Merges all sketches of a key; what a key gathers is bounded by its number of sketches times about 3k items."""
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["n"].sum())
-        levels = merge([_levels(x) for x in frame["levels"]], k, n)
-        return pd.DataFrame([(*frame.iloc[0][keys], n, levels)], columns=[*keys, "n", "levels"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, parts = _cut(batch.column(len(keys) + 1))
+            decoded = _decode(parts)
+            seeds = batch.column(len(keys)).to_pylist()
+            merged = [decoded[a] if b - a == 1 else merge(decoded[a:b], k, n) for a, b, n in zip(at[:-1], at[1:], seeds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), _encode(merged)], names=[*keys, "n", "levels"])
 
-    return partials.select(*keys, "n", "levels").groupBy(*keys).applyInPandas(join, f"{fields}, n long, levels array<array<double>>")
+    gathered = partials.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("levels").alias("parts"))
+    return gathered.mapInArrow(join, _schema(partials, keys, "n long, levels array<array<double>>"))
 
 
 def percentiles(sketches: DataFrame, keys: list[str], shares: dict[str, float], k: int = K) -> DataFrame:
@@ -123,15 +170,14 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: dict[str, float],
     The bounds are the values at the ranks rank_error(k) below and above; for a
     sketch that never compacted they and the value are the same, exact one.
     """
-    fields = ", ".join(f"`{c}` {t}" for c, t in sketches.select(*keys).dtypes)
     names = [f"{x}{end}" for x in shares for end in ("", "_low", "_high")]
 
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for levels in map(_levels, frame["levels"]):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.empty((len(batch), len(names)))
+            for i, levels in enumerate(_decode(batch.column(len(keys) + 1))):
                 e = rank_error(k) if len(levels) > 1 else 0.0
-                rows.append(at_ranks(levels, np.array([s + d for s in shares.values() for d in (0.0, -e, e)])))
-            yield pd.concat([frame[[*keys, "n"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+                rows[i] = at_ranks(levels, np.array([s + d for s in shares.values() for d in (0.0, -e, e)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), *(pa.array(rows[:, j]) for j in range(len(names)))], names=[*keys, "n", *names])
 
-    return sketches.select(*keys, "n", "levels").mapInPandas(answer, fields + ", n long, " + ", ".join(f"{x} double" for x in names))
+    return sketches.select(*keys, "n", "levels").mapInArrow(answer, _schema(sketches, keys, "n long, " + ", ".join(f"{x} double" for x in names)))
