@@ -28,6 +28,7 @@ EDITS = 3  # of them changed, dropped or added at most
 WINDOW = WORDS // (EDITS + 1)  # unchanged run that any such repetition has
 BROADCAST_WINDOWS = 1 << 20  # most item windows (8 bytes each) sent to every executor
 MATCHES = 3  # windows that it shares at least: WORDS - WINDOW + 1 - EDITS * WINDOW
+CONSISTENT = 2  # of them with the same slots in one reading, less one for words that only the other reading has in common
 # fixed values: letters without a decomposition
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
 NAME_LETTERS = 10
@@ -95,13 +96,17 @@ def window_hashes(words: list[str], salt: int) -> list[int]:
     return total.view(np.int64).tolist()
 
 
-def text_hashes(text: str) -> set[int]:
-    """Template windows of a text: of its folded words, and of its skeletons where those differ."""
+def text_windows(text: str) -> list[tuple[int, int]]:
+    """Distinct (template hash, slot hash) of the windows of a text, of its folded words and of its skeletons where those differ.
+
+    Windows with one template agree in their slots where the slot hashes, of the
+    words themselves, are equal too.
+    """
     folded, skeleton = words_of(text)
-    out = set(window_hashes(template(folded), 1))
+    out = set(zip(window_hashes(template(folded), 1), window_hashes(folded, 3), strict=True))
     if skeleton != folded:
-        out |= set(window_hashes(template(skeleton), 2))
-    return out
+        out |= set(zip(window_hashes(template(skeleton), 2), window_hashes(skeleton, 4), strict=True))
+    return sorted(out)
 
 
 def runs(words: tuple[list[str], list[str]]) -> list[tuple[tuple, int]]:
@@ -184,9 +189,10 @@ def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFr
 
     def hash_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"item_id": frame["item_id"], "hashes": [list(text_hashes(x)) for x in frame["item_text"]]})
+            own = [list(zip(*text_windows(x), strict=True)) or [(), ()] for x in frame["item_text"]]
+            yield pd.DataFrame({"item_id": frame["item_id"], "h": [list(w[0]) for w in own], "s": [list(w[1]) for w in own]})
 
-    item_windows = kept_items.mapInPandas(hash_items, "item_id long, hashes array<long>").select("item_id", F.explode("hashes").alias("h")).distinct()
+    item_windows = kept_items.mapInPandas(hash_items, "item_id long, h array<long>, s array<long>").select("item_id", F.inline(F.arrays_zip("h", "s"))).distinct()
     item_windows = scratch.save(item_windows, "item-windows")
     # the items' windows go to every executor while they are few; otherwise all document windows are shuffled to them
     few = item_windows.select("h").distinct().limit(BROADCAST_WINDOWS + 1)
@@ -198,20 +204,23 @@ def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFr
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                own = np.fromiter(text_hashes(text), np.int64)
+                own = np.array(text_windows(text), np.int64).reshape(-1, 2)
                 if known is not None and len(own):
-                    at = np.searchsorted(known, own)
-                    own = own[known[np.minimum(at, len(known) - 1)] == own] if len(known) else own[:0]
+                    at = np.searchsorted(known, own[:, 0])
+                    own = own[known[np.minimum(at, len(known) - 1)] == own[:, 0]] if len(known) else own[:0]
                 if len(own) >= MATCHES:
-                    rows.append((doc_id, text, own.tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_text", "hashes"])
+                    rows.append((doc_id, text, own[:, 0].tolist(), own[:, 1].tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_text", "h", "s"])
 
     texts = documents.filter("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    candidates = scratch.save(texts.mapInPandas(hash_documents, "doc_id long, doc_text string, hashes array<long>"), "candidates")
-    hits = candidates.select("doc_id", F.explode("hashes").alias("h")).distinct()
-    pairs = hits.join(item_windows, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MATCHES)
-    sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("windows"))
-    pairs = pairs.join(sizes, "item_id").join(kept_items, "item_id")
+    candidates = scratch.save(texts.mapInPandas(hash_documents, "doc_id long, doc_text string, h array<long>, s array<long>"), "candidates")
+    hits = candidates.select("doc_id", F.inline(F.arrays_zip("h", "s"))).distinct()
+    met = hits.join(item_windows.withColumnRenamed("s", "item_s"), "h").groupBy("doc_id", "item_id", "h").agg(F.max(F.col("s") == F.col("item_s")).alias("same"))
+    pairs = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.count_if("same").alias("consistent"))
+    sizes = item_windows.groupBy("item_id").agg(F.count_distinct("h").alias("windows"))
+    # consistent slots may make a repetition; half of an item's templates, whatever their slots, a re-parameterised one
+    likely = (F.col("consistent") >= CONSISTENT) | (F.col("shared") >= F.greatest(F.lit(MATCHES), F.col("windows") / 2))
+    pairs = pairs.join(sizes, "item_id").filter(likely).join(kept_items, "item_id")
     with_text = pairs.join(candidates.select("doc_id", "doc_text"), "doc_id")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
