@@ -29,6 +29,7 @@ QUALIFIERS = frozenset(
     "sp spp ssp cf aff indet unid unidentified undet nr near juv juvenile juveniles adult adults male female m f distant far close school shoal group of pair several many few possible possibly probable probably maybe likely unsure gen nov var det "
     "species genus family fam ord large small big on in the at left right edge view blurred partial partly hidden and et al ex".split()
 )
+LONGEST = 48  # letters of a token that may have typing errors
 MIN_PREFIX = 4  # letters that a cut-off epithet must show
 
 
@@ -39,8 +40,8 @@ def fold(text: str) -> str:
 
 
 def edits(length: int) -> int:
-    """Edit distance allowed for a token of this length."""
-    return 0 if length < 5 else 1 if length < 7 else 2
+    """Edit distance allowed for a token of this length; beyond LONGEST only the token itself matches."""
+    return 0 if length < 5 or length > LONGEST else 1 if length < 7 else 2
 
 
 def variants(token: str) -> set[str]:
@@ -135,7 +136,8 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     right = vocabulary.select(F.col("word").alias("token")).mapInPandas(_delete, schema).withColumnRenamed("token", "word")
     near = left.join(right, "variant").select("token", "word").distinct()
     far = F.levenshtein("token", "word")
-    allowed = F.when(F.greatest(F.length("token"), F.length("word")) < 5, 0).when(F.greatest(F.length("token"), F.length("word")) < 7, 1).otherwise(2)
+    longer = F.greatest(F.length("token"), F.length("word"))
+    allowed = F.when((longer < 5) | (longer > LONGEST), 0).when(longer < 7, 1).otherwise(2)
     close = near.filter(far <= allowed).select("token", "word", (1 - far / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
     heads = vocabulary.filter(F.length("word") > MIN_PREFIX).select("word", F.explode(F.transform(F.sequence(F.lit(MIN_PREFIX), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token"))
     cut = tokens.select("token").join(heads, "token").select("token", "word", (F.lit(0.5) + F.length("token") / F.length("word") / 4).alias("sim"))
