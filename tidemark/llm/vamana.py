@@ -25,8 +25,7 @@ class Graph:
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(x)
         rng = np.random.default_rng(seed)
-        centre = self.x.mean(0)
-        medoid = int(np.argmax(self.x @ centre)) if n else 0
+        medoid = int(np.argmax(self.x @ self.x.mean(0))) if n else 0
         spread = np.linspace(0, max(n - 1, 0), num=min(ENTRIES, n), dtype=np.int64)
         self.entries = np.unique(np.concatenate([[medoid], spread])) if n else np.empty(0, np.int64)
         self.links = np.full((n, degree), -1, np.int32)
