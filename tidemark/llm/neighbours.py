@@ -28,7 +28,7 @@ SAMPLE = 16384  # vectors of a group that the centres are fitted on
 PROBES = 8  # cells that a query searches when not all
 QUERIES = 16384  # of one shard that one task answers
 BEAM = 16
-WIDE_BEAM = 64
+WIDE_BEAM = 96
 ALONE = ("murk-so400",)  # backbones whose readout is patch_mean alone
 UNIT = "id long, grp string, vec binary"
 
