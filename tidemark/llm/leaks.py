@@ -34,6 +34,7 @@ PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae",
 NAME_LETTERS = 10
 # fixed values: words that are units after a number
 UNITS = frozenset("m mm cm km metre metres meter meters millimetres milimetros centimetres pixel pixels pixeles px gram grams gramme grammes gramos g kg minute minutes minutos second seconds frame frames percent mois month months image images".split())
+_SIGNS = re.compile("[^0-9a-z]+")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _HYPHEN = re.compile(r"(?<=\w)[-‐­][ \t]*\r?\n\s*(?=\w)")
@@ -58,9 +59,9 @@ def words_of(text: str) -> tuple[list[str], list[str]]:
     for w in t.split():
         low = w.lower()
         if low.isascii():
-            f = s = "".join(c for c in low if c.isalnum())
+            f = s = low if low.isalnum() else _SIGNS.sub("", low)
         else:
-            s = "".join(c for c in low if c.isascii() and c.isalnum())
+            s = _SIGNS.sub("", low)
             f = "".join(c for c in unicodedata.normalize("NFKD", low.translate(PLAIN)) if c.isalnum())
         if f:
             folded.append(f)
@@ -85,11 +86,21 @@ def template(words: list[str]) -> list[str]:
     return out
 
 
+HELD_WORDS = 50_000  # words whose hash a task keeps; a shorter memory than a text's words costs nothing but time
+_HASHES: dict[int, dict[str, int]] = {}
+
+
 def window_hashes(words: list[str], salt: int) -> list[int]:
     """64-bit hash of each run of WINDOW template words."""
     if len(words) < WINDOW:
         return []
-    each = np.array([xxhash.xxh64_intdigest(w, seed=salt) for w in words], dtype=np.uint64)
+    known = _HASHES.setdefault(salt, {})
+    if len(known) > HELD_WORDS:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, seed=salt)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     total = np.zeros(len(words) - WINDOW + 1, np.uint64)
     for k in range(WINDOW):
         total = total * np.uint64(0x9E3779B97F4A7C15) + each[k : len(words) - WINDOW + 1 + k]
