@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import compaction
-from tidemark.plans import core_a, core_b  # noqa: F401  (they register their queries)
+from tidemark.plans import core_a, core_b, core_c  # noqa: F401  (they register their queries)
 from tidemark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tidemark.session import table
 
