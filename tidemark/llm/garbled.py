@@ -92,6 +92,7 @@ class Model:
     log_p: np.ndarray
     known: np.ndarray
     seen: np.ndarray
+    letters: frozenset[str]
 
 
 def looks_utf8(text: str) -> bool:
@@ -161,7 +162,9 @@ def train(texts: list[str], langs: list[str | None] | None = None) -> Model:
     # equal mass per class, so a pair that no class knows speaks for none
     mass = 2e4
     log_p = np.log((share * mass + SMOOTH) / (mass + SMOOTH * BUCKETS)).astype(np.float32)
-    return Model(classes, log_p, frequency >= max(2, len(texts) // 2000), table[: len(classes)] > 0)
+    letters = {c for s in counted for c in s if c.isalpha() and ord(c) > 126}
+    letters = frozenset(x for c in letters for x in (c, c.lower(), c.upper()) if len(x) == 1) | TYPOGRAPHIC
+    return Model(classes, log_p, frequency >= max(2, len(texts) // 2000), table[: len(classes)] > 0, letters)
 
 
 def scores(model: Model, segments: list[str]) -> np.ndarray:
@@ -196,11 +199,30 @@ def fluency(model: Model, text: str) -> float:
     return float(model.log_p[len(model.chains) :, b].sum(1).max()) if len(b) else 0.0
 
 
+def multibyte_words(model: Model, segment: str) -> str | None:
+    """The sentence with UTF-8 runs read one byte at a time undone, where the rest of it hides them from the classifier.
+
+    A run counts if correct text hardly has its byte pairs and it stands for
+    letters or signs that correct text has, in either case.
+    """
+
+    def undo(m: re.Match) -> str:
+        for read in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250"):
+            back = invert(m[0], (("utf-8", read),))
+            if back is not None and len(back) < len(m[0]) and set(back) <= model.letters and _known(model, m.string[max(0, m.start() - 1) : m.end() + 1].strip()) < 0.9:
+                return back
+        return m[0]
+
+    out = re.sub(r"[^\x00-\x7f]{2,}", undo, segment)
+    return out if out != segment else None
+
+
 def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str, str | None, bool]:
     """(text, chain or None, garbled) of one sentence."""
     order = [c for c in np.argsort(-odds)[:TRIED] if odds[c] > PRIOR]
     if not order:
-        return segment, None, False
+        back = multibyte_words(model, segment)
+        return back or segment, "utf-8 in part" if back else None, back is not None
     # capitals, composed letters and kinds of space are no garbling
     plain = re.sub(r"[\u00a0\u2000-\u200a\u202f]", " ", re.sub(r"[\u200b-\u200d\u00ad]", "", unicodedata.normalize("NFC", segment)))
     views = {segment, plain, plain.lower()}
@@ -211,8 +233,10 @@ def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str,
     for c in order:
         back = invert(segment, model.chains[c])
         if back is not None and back != segment and LOST not in back and one_script(back) and _known(model, back) >= max(KNOWN, before + BETTER):
-            fits.append((fluency(model, back), -c, back, c))
-    if fits and max(fits)[0] >= fluent + GAIN:
+            fluency_after = fluency(model, back)
+            if fluency_after >= fluent + GAIN:
+                fits.append((fluency_after + float(odds[c]), -c, back, c))
+    if fits:
         _, _, back, c = max(fits)
         return back, "+".join(f"{w}>{r}" for w, r in model.chains[c]), True
     # characters were lost, or only some words are garbled: word by word
@@ -227,7 +251,8 @@ def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str,
     best = order[0]
     if odds[best] >= SURE and model.seen[best][bigrams(segment)].mean() >= 0.9 and before < 0.9 and not _DRAWN.match(re.sub(r"[\x00-\x7f]", "", segment)):
         return segment, "+".join(f"{w}>{r}" for w, r in model.chains[best]) + " lost", True
-    return segment, None, False
+    back = multibyte_words(model, segment)
+    return back or segment, "utf-8 in part" if back else None, back is not None
 
 
 def restore_text(model: Model, text: str) -> tuple[str, list[str], bool]:
