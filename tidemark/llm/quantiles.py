@@ -167,8 +167,9 @@ def merge_sketches(partials: DataFrame, keys: list[str], k: int = K) -> DataFram
 def percentiles(sketches: DataFrame, keys: list[str], shares: dict[str, float], k: int = K) -> DataFrame:
     """keys, n, and for each name of shares the value with its bounds ``<name>_low`` and ``<name>_high``.
 
-    The bounds are the values at the ranks rank_error(k) below and above; for a
-    sketch that never compacted they and the value are the same, exact one.
+    The bounds are the values at the ranks rank_error(k) below and above, one
+    rank at least, so that they enclose every usual definition of a percentile;
+    a sketch that never compacted gives the exact value.
     """
     names = [f"{x}{end}" for x in shares for end in ("", "_low", "_high")]
 
@@ -176,7 +177,8 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: dict[str, float],
         for batch in batches:
             rows = np.empty((len(batch), len(names)))
             for i, levels in enumerate(_decode(batch.column(len(keys) + 1))):
-                e = rank_error(k) if len(levels) > 1 else 0.0
+                n = sum(len(x) << h for h, x in enumerate(levels))
+                e = max(rank_error(k) if len(levels) > 1 else 0.0, 1 / max(n, 1))
                 rows[i] = at_ranks(levels, np.array([s + d for s in shares.values() for d in (0.0, -e, e)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), *(pa.array(rows[:, j]) for j in range(len(names)))], names=[*keys, "n", *names])
 
