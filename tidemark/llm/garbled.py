@@ -25,6 +25,7 @@ READ = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866",
 TWICE = (("utf-8", "latin-1"), ("utf-8", "cp1252"))  # chains that are also applied two times over
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 6000  # bound of the labelled sample
+SAMPLE_CHARS = 20_000  # longer texts are not sampled, so the sample stays under 120 MB (they are repaired like all others)
 SAMPLE_SEGMENTS = 2500  # correct sentences that are garbled for training
 COMMON = 0.02  # a character in this share of the sampled documents is taken as correct
 SMOOTH = 0.02
@@ -272,8 +273,8 @@ def restore_text(model: Model, text: str) -> tuple[str, list[str], bool]:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Trains on the ``sample`` documents of lowest id hash."""
-    rows = documents.filter("text is not null").select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "text").limit(sample).collect()  # bounded by sample
+    """Trains on the ``sample`` documents of lowest id hash, of at most SAMPLE_CHARS characters."""
+    rows = documents.filter(F.length("text") <= SAMPLE_CHARS).select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "text").limit(sample).collect()  # bounded by sample
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

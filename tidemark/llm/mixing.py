@@ -70,10 +70,15 @@ def pack(scratch: Scratch, tokens: DataFrame, block: int = BLOCK) -> DataFrame:
     within = F.coalesce(F.sum("n").over(Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumn("within", within).join(F.broadcast(starts), ["source", "range"]).withColumn("at", F.col("before") + F.col("within"))
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n") - 1) / block)
-    pieces = placed.select("source", "tokens", "n", "at", F.explode(F.sequence(first, last)).alias("block_no"))
-    low = F.greatest(F.lit(0), F.col("block_no") * block - F.col("at")).cast("int")
-    high = F.least(F.col("n"), (F.col("block_no") + 1) * block - F.col("at")).cast("int")
-    pieces = pieces.select("source", "block_no", F.struct("at", F.slice("tokens", low + 1, high - low).alias("t")).alias("p"))
+
+    def piece(b):
+        low = F.greatest(F.lit(0), b * block - F.col("at")).cast("int")
+        high = F.least(F.col("n"), (b + 1) * block - F.col("at")).cast("int")
+        return F.struct(b.alias("block_no"), F.slice("tokens", low + 1, high - low).alias("t"))
+
+    # cut before the rows are multiplied, so that a long text is not repeated per block
+    pieces = placed.select("source", "at", F.inline(F.transform(F.sequence(first, last), piece)))
+    pieces = pieces.select("source", "block_no", F.struct("at", "t").alias("p"))
     joined = pieces.groupBy("source", "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"])).alias("tokens"))  # at most a block of tokens
     return scratch.save(joined.withColumn("n_tokens", F.size("tokens")), "blocks")
 
