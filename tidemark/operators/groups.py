@@ -131,3 +131,42 @@ def relative_difference(a: Column, b: Column) -> Column:
     """Largest absolute difference of two arrays over the largest absolute value of the first."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))) / F.when(top > 0, top)
+
+
+def offset_search(wanted: DataFrame, held: DataFrame, keys: Sequence[str], frame: str, camera: str, ident: str, window: int) -> DataFrame:
+    """ident, delta, camera: the nearest held frame within the window, ties to the smaller offset, then to the left camera.
+
+    Each wanted frame looks up its 2 * window + 1 frames by an equi-join.
+    """
+    tried = wanted.withColumn("delta", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("_f", F.col(frame) + F.col("delta"))
+    hits = tried.select(*keys, ident, "delta", F.col("_f").alias(frame)).join(held.select(*keys, frame, camera).distinct(), [*keys, frame])
+    best = F.row_number().over(Window.partitionBy(ident).orderBy(F.abs("delta"), "delta", camera))
+    return hits.withColumn("_rn", best).filter("_rn = 1").select(ident, "delta", camera)
+
+
+def only_in_block(rows: DataFrame, block: str, concept: str) -> DataFrame:
+    """block, concept, n: concepts of which every row lies in one block."""
+    per = rows.groupBy(concept, block).agg(F.count("*").alias("n"))
+    return per.groupBy(concept).agg(F.min(block).alias(block), F.count("*").alias("_b"), F.sum("n").alias("n")).filter("_b = 1").select(block, concept, "n")
+
+
+def volume_estimate(rows: DataFrame, by: str, image: str, size: str) -> DataFrame:
+    """by, images, boxes_per_image, bytes: boxes over the mean boxes of an image, times the median size."""
+    per = rows.groupBy(by, image).agg(F.count("*").alias("b"), F.max(size).alias("s"))
+    g = per.groupBy(by).agg(F.count("*").alias("images"), F.avg("b").alias("m"), F.sum("b").alias("boxes"), F.percentile("s", F.lit(0.5)).alias("median"))
+    return g.select(by, "images", F.round("m", 6).alias("boxes_per_image"), F.round(F.col("boxes") / F.col("m") * F.col("median"), 4).alias("bytes"))
+
+
+def random_baseline(counts: DataFrame, group: str, taxon: str, units: str, need: int, sizes: Sequence[int], seeds: int) -> DataFrame:
+    """seed, size, covered: taxa that reach ``need`` units in the first groups of a hash order, per seed and number of groups."""
+    order = counts.select(group).distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    ranked = order.withColumn("rn", F.row_number().over(Window.partitionBy("seed").orderBy(hash_order(F.col("seed"), F.col(group)), group)))
+    picked = ranked.filter(F.col("rn") <= max(sizes)).withColumn("size", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("rn"))))
+    held = picked.join(counts, group).groupBy("seed", "size", taxon).agg(F.sum(units).alias("u"))
+    return held.groupBy("seed", "size").agg(F.count_if(F.col("u") >= need).alias("covered"))
+
+
+def counts_with_empties(images: DataFrame, boxes: DataFrame, image: str, by: str) -> DataFrame:
+    """by, images, boxes, empties: images without a box count as empties."""
+    per = boxes.groupBy(image).agg(F.count("*").alias("b"))
+    return images.select(image, by).distinct().join(per, image, "left").groupBy(by).agg(F.count("*").alias("images"), F.sum(F.coalesce("b", F.lit(0))).alias("boxes"), F.count_if(F.col("b").isNull()).alias("empties"))

@@ -174,3 +174,34 @@ def survey_composition(spark: SparkSession, sf: str) -> DataFrame:
 @query("place_keys", r"SELECT DISTINCT grp, replace(regexp_replace(trim(regexp_replace(concat(' ', regexp_replace(lower(trim(grp)), '[^a-z0-9]+', ' ', 'g')), '([^0-9])0+([0-9])', '\1\2', 'g')), '([0-9]) ([0-9])', '\1_\2', 'g'), ' ', '') AS key FROM split_crops WHERE grp <> ''")
 def place_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "split_crops").filter("grp <> ''").select("grp", place_key("grp").alias("key")).distinct()
+
+
+@query("offset_search", "WITH w AS (SELECT event_id i, user_id v, (epoch_us(ts) // 3600000000)::BIGINT f FROM events WHERE event_id % 10 = 0), h AS (SELECT DISTINCT user_id v, (epoch_us(ts) // 3600000000)::BIGINT f, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END camera FROM events WHERE event_id % 10 <> 0) SELECT i, (h.f - w.f)::INT delta, camera FROM w JOIN h ON w.v = h.v AND abs(h.f - w.f) <= 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(h.f - w.f), h.f - w.f, camera) = 1")
+def offset_search(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("v"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("f"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("camera"))
+    return R.offset_search(e.filter("i % 10 = 0").drop("camera"), e.filter("i % 10 <> 0"), ["v"], "f", "camera", "i", 6)
+
+
+@query("only_in_block", "SELECT min(l_returnflag) source, l_orderkey AS concept, count(*) n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
+def only_in_block(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("concept"))
+    return R.only_in_block(rows, "source", "concept")
+
+
+@query("volume_estimate", "WITH p AS (SELECT l_returnflag s, l_orderkey i, count(*) b, max(l_quantity) z FROM lineitem GROUP BY ALL) SELECT s AS source, count(*) images, round(avg(b), 6) boxes_per_image, round(sum(b) / avg(b) * quantile_cont(z, 0.5), 4) bytes FROM p GROUP BY s")
+def volume_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("image"), "l_quantity")
+    return R.volume_estimate(rows, "source", "image", "l_quantity")
+
+
+@query("random_baseline", f"""{WITH}, c AS (SELECT deployment, genus, count(*) u FROM crops GROUP BY ALL), o AS (SELECT deployment, s::INT seed, row_number() OVER (PARTITION BY s ORDER BY sha256(s || ':' || deployment), deployment) rn FROM (SELECT DISTINCT deployment FROM c), range(5) r(s)),
+h AS (SELECT seed, size, genus, sum(u) u FROM o JOIN (VALUES (5), (20), (40)) z(size) ON rn <= size JOIN c ON c.deployment = o.deployment GROUP BY ALL) SELECT seed, size, count(*) FILTER (u >= 20) covered FROM h GROUP BY ALL""")
+def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    c = crops(spark, sf).groupBy("deployment", "genus").agg(F.count("*").alias("u"))
+    return R.random_baseline(c, "deployment", "genus", "u", 20, [5, 20, 40], 5)
+
+
+@query("counts_with_empties", "WITH b AS (SELECT o_orderkey, count(*) b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_orderpriority AS priority, count(*) images, coalesce(sum(b), 0)::BIGINT boxes, count(*) FILTER (b IS NULL) empties FROM orders LEFT JOIN b ON b.o_orderkey = orders.o_orderkey GROUP BY o_orderpriority")
+def counts_with_empties(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("priority"))
+    return R.counts_with_empties(o, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image")), "image", "priority")
