@@ -118,7 +118,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.lost(table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
 
 
-@query("p7_sample")
+@query(
+    "p7_sample",
+    f"""WITH keys AS (SELECT {NAME_SQL.format('crop_key')} k, min(crop_key) crop_key FROM split_crops GROUP BY 1), n AS (SELECT count(*) n FROM keys), f AS (SELECT seed, max_by(frac, run_no) frac FROM lock_selection GROUP BY seed),
+kept AS (SELECT DISTINCT s.seed, keys.crop_key FROM lock_selection s JOIN keys ON keys.k = {NAME_SQL.format('s.crop_key')}),
+q AS (SELECT f.seed, greatest(0, round_even(frac * n, 0) - (SELECT count(*) FROM kept WHERE kept.seed = f.seed)) q FROM f, n),
+u AS (SELECT f.seed, keys.crop_key, row_number() OVER (PARTITION BY f.seed ORDER BY substr(sha256(f.seed || ':' || keys.crop_key), 1, 15), keys.crop_key) rn FROM f JOIN keys ON NOT EXISTS (SELECT 1 FROM kept WHERE kept.seed = f.seed AND kept.crop_key = keys.crop_key))
+SELECT seed, crop_key, true kept FROM kept UNION ALL SELECT u.seed, u.crop_key, false FROM u JOIN q ON q.seed = u.seed WHERE rn <= q""",
+)
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.current_sample(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
 

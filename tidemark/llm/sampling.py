@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import crop_name
+from tidemark.functions.text import crop_name, hash_order
 from tidemark.session import Scratch
 
 BUCKETS = 1 << 16
@@ -40,14 +40,19 @@ def lost(selections: DataFrame, crops: DataFrame) -> DataFrame:
     return gaps.join(population(crops).select("name", "crop_key"), "name").select("seed", "crop_key")
 
 
+def priority(seed: str, key: str):
+    """First 60 bits of the SHA-256 of seed and key."""
+    return F.conv(F.substring(hash_order(F.col(seed), F.col(key)), 1, 15), 16, 10).cast("long")
+
+
 def draw(spark: SparkSession, keys: DataFrame, kept: DataFrame, frac: dict[int, float]) -> DataFrame:
     """(seed, crop_key, kept): for each seed the sample of round(frac * n) keys, never fewer than those kept.
 
     keys has distinct crop_key; kept (seed, crop_key) is the ledger of earlier
     runs.  All kept keys that exist stay, also beyond the quota; unseen keys
-    join by lowest xxhash64(seed, key).  The cut comes from exact counts of
-    2**16 hash ranges, so no task sorts more than one range; ties of the hash go
-    to the smaller key.
+    join by lowest priority, the first 60 bits of SHA-256 of seed and key.  The
+    cut comes from exact counts of 2**16 hash ranges, so no task sorts more than
+    one range; ties go to the smaller key.
     """
     scratch = Scratch(spark, "sample")
     seeds = F.array([F.struct(F.lit(int(s)).cast("long").alias("seed"), F.lit(float(f)).alias("frac")) for s, f in frac.items()])
@@ -57,7 +62,7 @@ def draw(spark: SparkSession, keys: DataFrame, kept: DataFrame, frac: dict[int,
         return stay.withColumn("kept", F.lit(True))
     unseen = keys.select("crop_key", F.inline(seeds))  # one row per seed and key
     marked = unseen.join(stay.withColumn("kept", F.lit(True)), ["seed", "crop_key"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    marked = marked.withColumn("priority", F.xxhash64("seed", "crop_key")).withColumn("bucket", F.shiftrightunsigned("priority", 48).cast("int"))
+    marked = marked.withColumn("priority", priority("seed", "crop_key")).withColumn("bucket", F.shiftright("priority", 44).cast("int"))
     marked = scratch.save(marked, "marked")
     counts = marked.groupBy("seed", "frac").agg(F.count_if("kept").alias("n_kept"))
     quota = counts.select("seed", F.greatest(F.lit(0), F.rint(F.col("frac") * n).cast("long") - F.col("n_kept")).alias("quota"))
