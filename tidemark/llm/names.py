@@ -194,6 +194,8 @@ def map_names(spark: SparkSession, typed: DataFrame, reference: DataFrame) -> Da
     ranked = fits.withColumn("score", F.round(score, 6)).withColumn("rn", F.row_number().over(Window.partitionBy("name_id").orderBy(F.desc("score"), F.desc("covered"), "aphia_id")))
     chosen = ranked.filter("rn = 1").select("name_id", F.col("aphia_id").alias("found"), "score", "least")
     valid = reference.select(F.col("aphia_id").alias("found"), "valid_name").dropDuplicates(["found"])
-    out = todo.select("map_id", "name_id").join(lookup_join(chosen, valid, ["found"]), "name_id", "left")
+    # one name may be typed in a third of all rows
+    named = scratch.save(lookup_join(chosen, valid, ["found"]), "named")
+    out = lookup_join(todo.select("map_id", "name_id"), named, ["name_id"], "left")
     status = F.when(F.col("found").isNull(), "unmatched").when(F.col("least") == 1, "exact").otherwise("repaired")
     return out.select("map_id", F.coalesce("found", F.lit(0).cast("long")).alias("aphia_id"), "valid_name", "score", status.alias("status"))
