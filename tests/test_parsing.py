@@ -48,6 +48,10 @@ def test_lists_and_sizes(spark):
         ("MBARI", "/static/m3/framegrabs/i2MAP/images/20190507/f.png", "MBARI:i2MAP:DATE:20190507", "mbari_dated_folder"),
         ("MBARI", "/static/m3/framegrabs/Ventana/images/46/f.png", "MBARI:Ventana:F46", "mbari_unpadded"),
         ("MBARI", "/static/m3/framegrabs/MiniROV/images/Mini ROV 152/f.png", "MBARI:MiniROV:D152", "mbari_dive"),
+        ("MBARI", "/x/MBARI_D1032_a/f.png", "MBARI:DocRicketts:D1032", "mbari_dive_rehosted"),
+        ("MBARI", "/x/MBARI_V0032/f.png", "MBARI:Ventana:D32", "mbari_dive_rehosted"),
+        ("MBARI", "/x/a_BIL_Kona_20240501_b/f.png", "MBARI:BIL:20240501", "mbari_bil_day"),
+        ("MBARI", "/x/BIL_Kona2024_b/f.png", "MBARI:BIL:Y2024", "mbari_bil_year"),
         ("OET", "/x/OET_NA138/f.jpg", "OET:NA138", "oet_cruise"),
         ("SOI", "/x/dive_S0451_a/f.jpg", "SOI:S451", "soi_dive"),
         ("ONC", "/x/IMG_H1234/f.jpg", "ONC:H1234", "onc_dive"),
@@ -61,6 +65,7 @@ def test_address_groups(spark, institution, path, token, rule):
 def test_no_address_and_dives(spark):
     assert one(spark, P.address_group(F.lit("SOI"), F.lit("/x/S45/f.jpg"))) is None and one(spark, P.address_group(F.lit("other"), F.lit("/x/OET_NA138"))) is None
     assert one(spark, P.dive_tokens(F.lit("/EX1404L2_DIVE04_05/D2-EX1404-07.jpg"))) == ["NOAA:EX1404:D7", "NOAA:EX1404L2:D4", "NOAA:EX1404L2:D5"]
+    assert one(spark, P.stills_day(F.lit("/static/m3/framegrabs/Doc Ricketts/stills/2019/032/f.png"))) == "MBARI:DocRicketts:DATE:20190201" and one(spark, P.stills_day(F.lit("/x"))) is None
     assert one(spark, P.suspect_concept(F.lit("crab"), F.lit("Genus"))) and not one(spark, P.suspect_concept(F.lit("Crab"), F.lit("Genus")))
 
 

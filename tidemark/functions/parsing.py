@@ -141,6 +141,11 @@ ADDRESS_RULES = (
     AddressRule("MBARI", r"^/static/[^/]+/framegrabs/([^/]+)/images/(?:Mini ROV )?(\d{8})/.*$", "MBARI:$1:DATE:$2", "mbari_dated_folder", "date", False),
     AddressRule("MBARI", r"^/static/[^/]+/framegrabs/([^/]+)/images/(?:Mini ROV )?0*(\d{1,4})(?<=/\d{4}|ROV \d{4}|ROV \d{1,3})/.*$", "MBARI:$1:D$2", "mbari_dive", "dive", True),
     AddressRule("MBARI", r"^/static/[^/]+/framegrabs/([^/]+)/images/(\d{1,5})/.*$", "MBARI:$1:F$2", "mbari_unpadded", "unverified", False),
+    AddressRule("MBARI", r"^.*/MBARI_D0*(\d{1,4})(?<=D\d{3,4})(?:_[^/]*)?/[^/]*$", "MBARI:DocRicketts:D$1", "mbari_dive_rehosted", "dive", True),
+    AddressRule("MBARI", r"^.*/MBARI_V0*(\d{1,4})(?<=V\d{3,4})(?:_[^/]*)?/[^/]*$", "MBARI:Ventana:D$1", "mbari_dive_rehosted", "dive", True),
+    AddressRule("MBARI", r"^.*/MBARI_T0*(\d{1,4})(?<=T\d{3,4})(?:_[^/]*)?/[^/]*$", "MBARI:Tiburon:D$1", "mbari_dive_rehosted", "dive", True),
+    AddressRule("MBARI", r"^.*/[^/]*BIL_Kona_(\d{8})[^/]*/[^/]*$", "MBARI:BIL:$1", "mbari_bil_day", "date", True),
+    AddressRule("MBARI", r"^.*/[^/]*BIL_Kona(\d{4})_[^/]*/[^/]*$", "MBARI:BIL:Y$1", "mbari_bil_year", "cruise", True),
     AddressRule("OET", r"^.*OET_NA(\d+).*$", "OET:NA$1", "oet_cruise", "cruise", True),
     AddressRule("SOI", r"^(?:.*[_/])?S0*(\d{1,4})(?<=S\d{4})(?=[_/.]|$).*$", "SOI:S$1", "soi_dive", "dive", True),
     AddressRule("ONC", r"^.*_H0*(\d{1,4})(?<=H\d{4})(?=[_/]|$).*$", "ONC:H$1", "onc_dive", "dive", True),
@@ -158,6 +163,13 @@ def address_group(institution: Column, path: Column, rules: tuple[AddressRule, .
     return out
 
 
+def stills_day(path: Column) -> Column:
+    """Token of ``framegrabs/<vehicle>/stills/<year>/<day of year>/...``: the vehicle and the date; null otherwise."""
+    pattern = r"^/static/[^/]+/framegrabs/([^/]+)/stills/(\d{4})/(\d{1,3})/.*$"
+    day = F.date_add(F.make_date(F.regexp_extract(path, pattern, 2).try_cast("int"), F.lit(1), F.lit(1)), F.regexp_extract(path, pattern, 3).try_cast("int") - 1)
+    return F.when(path.rlike(pattern), F.concat(F.lit("MBARI:"), F.regexp_replace(F.regexp_extract(path, pattern, 1), " ", ""), F.lit(":DATE:"), F.date_format(day, "yyyyMMdd")))
+
+
 def dive_tokens(path: Column) -> Column:
     """array<string>: cruise and dive tokens of ``EX1404_DIVE04_05`` (dives 4 and 5) and ``D2-EX1404-07``, ascending."""
     listed = F.regexp_extract_all(path, F.lit(r"(EX\d{4}(?:L\d)?_DIVE\d+(?:_\d+)*)"), F.lit(1))
