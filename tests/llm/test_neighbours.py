@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from tidemark.llm import neighbours as N
 from tidemark.llm.vamana import Graph

@@ -156,7 +156,7 @@ def map_names(spark: SparkSession, typed: DataFrame, reference: DataFrame) -> Da
     """
     scratch = Scratch(spark, "names")
     todo = typed.filter("aphia_id is null and map_id is not null").groupBy("map_id").agg(F.min(F.struct("proposed_name", "genus", "species")).alias("n")).select("map_id", "n.*")
-    todo = scratch.save(todo.withColumn("name_id", F.xxhash64("proposed_name", "genus", "species")), "todo")
+    todo = scratch.save(todo.withColumn("name_id", F.xxhash64(*[F.coalesce(c, F.lit("\u0001")) for c in ("proposed_name", "genus", "species")])), "todo")  # a null has its own place
     names = todo.select("name_id", "proposed_name", "genus", "species").dropDuplicates(["name_id"])
     tokens = scratch.save(names.mapInPandas(_split, "name_id long, pos int, token string, initial string, content int, hint string"), "tokens")
     forms = scratch.save(entry_words(reference), "forms")
