@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import col
 
 # fixed values: formats of stored names
-CROP_FILE = r"^(.+)_(\d+)_(.+)_(\d+)x(\d+)\+(-?\d+)\+(-?\d+)$"
 BARE_CROP_FILE = r"^(.+)_(\d+)_(\d+)x(\d+)\+(-?\d+)\+(-?\d+)$"
 FRAME_CROP = r"(?i)^([A-Za-z]+\d+)_([LR])\.(avi|mp4|mpeg)\.(\d+)\.(-?\d+)\.(-?\d+)\.(-?\d+)\.(-?\d+)\.png$"
 PORTAL_SUFFIX = r"(?i)^(.+?\.png)-\d+-\d+\.png$"
