@@ -317,7 +317,7 @@ def unique_match(spark: SparkSession, sf: str) -> DataFrame:
 @query("token_components", """WITH RECURSIVE e AS (SELECT DISTINCT 't' || o_custkey a, 't' || (o_custkey + o_orderkey % 3) b FROM orders WHERE o_orderkey % 5 = 0), d AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a v, a root FROM d UNION SELECT d.b, r.root FROM r JOIN d ON d.a = r.v) SELECT v, min(root) root FROM r GROUP BY v""".replace("(o_custkey + o_orderkey % 3)", "(o_custkey // 4 * 4 + o_orderkey % 3)"))
 def token_components(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey % 5 = 0")
+    o = table(spark, sf, "orders")
     return graph.components(o.select(F.concat(F.lit("t"), "o_custkey").alias("a"), F.concat(F.lit("t"), F.floor(F.col("o_custkey") / 4) * 4 + F.col("o_orderkey") % 3).alias("b")))
 
 
