@@ -1,8 +1,18 @@
 """Queries against brute force on tables where a query that leaves out rows, tries or draws gives less."""
 
+import datetime
+import hashlib
+
 from tidemark.plans.catalogue import QUERIES
 
 
+def lineitem(spark, path, rows):
+    """Writes a lineitem table of (order, part, supplier, quantity)."""
+    full = [(o, p, s, i % 7 + 1, float(q), 100.0 + i, datetime.date(1995, 1, 1), "NAR"[i % 3], "FO"[i % 2]) for i, (o, p, s, q) in enumerate(rows)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate date, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(full, names).write.parquet(f"{path}/lineitem.parquet")
+
+
 def test_token_components_use_every_order(spark, tmp_path):
     orders = [(k, (k * 7) % 90 + 1) for k in range(1, 160)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
@@ -20,3 +30,24 @@ def test_token_components_use_every_order(spark, tmp_path):
             root[high] = low
     got = {r["v"]: r["root"] for r in QUERIES["token_components"](spark, str(tmp_path)).collect()}
     assert got == {v: find(v) for v in root}
+
+
+def test_place_backgrounds_use_sixty_tries(spark, tmp_path):
+    frames, places = [1000 * i + 150 for i in range(40)], (0, 900, 1799)
+    boxes = [(x, f, 1, 100) for f in frames for x in places]  # a band that leaves little room above and below
+    lineitem(spark, tmp_path, boxes)
+
+    def uniform(what):
+        return int(hashlib.sha256(f"bg:{what}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    want, late = {}, 0
+    for i, f in enumerate(frames):
+        w, h = [(200, 150), (600, 400), (64, 64)][int(uniform(f"size:{f}") * 3)]
+        own = [(x, 150, 1008, 708 + (i * len(places) + j) % 7 + 1) for j, x in enumerate(places)]
+        for t in range(60):
+            x, y = int(uniform(f"x:{t}:{f}") * (1921 - w)), int(uniform(f"y:{t}:{f}") * (1081 - h))
+            if not any(x < a + c + 8 and a - 8 < x + w and y < b + d + 8 and b - 8 < y + h for a, b, c, d in own):
+                want[f], late = (w, h, x, y), late + (t >= 8)
+                break
+    got = {r["frame"]: (r["w"], r["h"], r["x"], r["y"]) for r in QUERIES["place_backgrounds"](spark, str(tmp_path)).collect()}
+    assert late > 0 and got == want

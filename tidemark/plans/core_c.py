@@ -127,7 +127,7 @@ c AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM crops b WHERE b.species =
 def place_backgrounds(spark: SparkSession, sf: str) -> DataFrame:
     c = crops(spark, sf).select(F.col("species").alias("frame"), "x", "y", "w", "h")
     frames = c.select("frame", F.lit(1920).alias("width"), F.lit(1080).alias("height")).distinct()
-    return R.place_backgrounds(frames, c, "frame", [(200, 150), (600, 400), (64, 64)], 8, 8, "bg")
+    return R.place_backgrounds(frames, c, "frame", [(200, 150), (600, 400), (64, 64)], 8, 60, "bg")
 
 
 @query("testable_k", f"""{WITH}, p AS (SELECT genus, deployment, count(*) n FROM crops GROUP BY ALL), t AS (SELECT genus, sum(n) total, max(n) big, count(*) g FROM p GROUP BY genus)
