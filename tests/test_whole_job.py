@@ -51,3 +51,33 @@ def test_place_backgrounds_use_sixty_tries(spark, tmp_path):
                 break
     got = {r["frame"]: (r["w"], r["h"], r["x"], r["y"]) for r in QUERIES["place_backgrounds"](spark, str(tmp_path)).collect()}
     assert late > 0 and got == want
+
+
+def test_draws_go_on_until_a_try_fits(spark, tmp_path):
+    heavy = {s: {1: 25} | {d: 1 for d in range(2, 12)} for s in range(1, 9)}  # fits only when the heavy deployment comes first
+    sizes = heavy | {20: {1: 15, 2: 15}, 21: {1: 12, 2: 12, 3: 12}, 22: {1: 5}}  # never fits, always fits, not usable
+    lineitem(spark, tmp_path, [(1000 * s + 50 * d + i, s, d, 1) for s, own in sizes.items() for d, n in own.items() for i in range(n)])
+    want = {}
+    for s, own in sizes.items():
+        for draw in range(10):
+            for t in range(1000):
+                order = sorted(own, key=lambda d: hashlib.sha256(f"w:{draw}:{t}:{s}:{d}".encode()).hexdigest())
+                refs = []
+                while sum(own[d] for d in refs) < 20 and len(refs) < len(order):
+                    refs.append(order[len(refs)])
+                if sum(own[d] for d in refs) >= 20 and sum(own.values()) - sum(own[d] for d in refs) >= 10:
+                    want[draw, s] = (t, frozenset(refs), sum(own.values()) - sum(own[d] for d in refs))
+                    break
+    made = QUERIES["make_draws"](spark, str(tmp_path)).collect()
+    got = {}
+    for pair in {(r["draw"], r["species"]) for r in made}:
+        own = [r for r in made if (r["draw"], r["species"]) == pair]
+        refs = [r for r in own if r["role"] == "reference"]
+        assert sorted(r["ref_rank"] for r in refs) == list(range(1, 21))
+        apart = {r["deployment"] for r in refs}, {r["deployment"] for r in own if r["role"] == "query"}
+        assert not apart[0] & apart[1]
+        got[pair] = ({r["try_no"] for r in own}, set(sizes[pair[1]]) - apart[1], len(own) - len(refs))
+    assert max(t for t, *_ in want.values()) >= 4 and {s for _, s in want} == {*heavy, 21} and len(want) == 90
+    assert got == {pair: ({t}, set(refs), n) for pair, (t, refs, n) in want.items()}
+    assert QUERIES["draws_disjoint"](spark, str(tmp_path)).head()["shared"] == 0
+    assert [tuple(r) for r in QUERIES["draws_failed"](spark, str(tmp_path)).collect()] == [(20, 10)]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import hash_order
+from tidemark.operators.units import usable
+from tidemark.session import Scratch
 
 
 def ranked(rows: DataFrame, group: list[str], key: str, seed: str) -> DataFrame:
@@ -42,25 +44,57 @@ def take_until(rows: DataFrame, taxon: str, group: str, k: int, seed: str) -> Da
     return per.withColumn("before", before).withColumn("role", F.when(F.col("before") < k, "reference").otherwise("query")).select(taxon, group, "n", "role")
 
 
-def draws(rows: DataFrame, taxon: str, group: str, key: str, k: int, q: int, n_draws: int, tries: int, seed: str) -> DataFrame:
-    """draw, taxon, try_no, key, role, ref_rank: per draw the first try that leaves q queries.
+def draw_sides(rows: DataFrame, taxon: str, group: str, k: int, q: int, n_draws: int, tries: int, seed: str) -> DataFrame:
+    """draw, taxon, try_no, group, role: the sides of the first try with k reference rows that leaves q queries.
 
-    All tries of a taxon are laid out on its few (taxon, group) counts; only the
-    chosen one meets the rows.  The reference is the first k rows in hash order,
-    so a smaller k is a prefix of it; whole groups are on one side.
+    Tries are laid out on the few (taxon, group) counts, in rounds that grow;
+    a round meets only the draws that no earlier one settled.  Taxa whose
+    counts rule out any order are not tried.
     """
-    per = rows.groupBy(taxon, group).agg(F.count("*").alias("n"))
-    cells = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("try_no", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    scratch = Scratch(rows.sparkSession, "draws")
+    per = rows.filter(F.col(taxon).isNotNull()).groupBy(taxon, group).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(taxon)
+    able = per.withColumn("total", F.sum("n").over(whole)).withColumn("rest", F.col("total") - F.max("n").over(whole)).filter((F.col("total") >= k + q) & (F.col("rest") >= min(k, q))).drop("rest")
+    left = able.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     order = hash_order(F.lit(seed), F.col("draw"), F.col("try_no"), F.col(taxon), F.col(group))
-    w = Window.partitionBy("draw", "try_no", taxon).orderBy(order, group)
-    laid = cells.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("role", F.when(F.col("before") < k, "reference").otherwise("query"))
-    good = laid.groupBy("draw", taxon, "try_no").agg(F.sum(F.when(F.col("role") == "query", F.col("n")).otherwise(0)).alias("left"), F.sum(F.when(F.col("role") == "reference", F.col("n")).otherwise(0)).alias("refs")).filter((F.col("left") >= q) & (F.col("refs") >= k))
-    chosen = good.groupBy("draw", taxon).agg(F.min("try_no").alias("try_no"))
-    sides = laid.join(chosen, ["draw", taxon, "try_no"]).select("draw", taxon, "try_no", group, "role")
-    members = rows.select(taxon, group, key).join(sides, [taxon, group])
-    rn = F.row_number().over(Window.partitionBy("draw", taxon, "role").orderBy(hash_order(F.lit(seed), F.col("draw"), F.col(key)), key))
-    placed = members.withColumn("ref_rank", F.when(F.col("role") == "reference", rn))
-    return placed.filter((F.col("role") == "query") | (F.col("ref_rank") <= k)).select("draw", taxon, "try_no", group, key, "role", "ref_rank")
+    one = Window.partitionBy("draw", taxon, "try_no")
+    before = F.coalesce(F.sum("n").over(one.orderBy(order, group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    refs = F.sum(F.when(F.col("role") == "reference", F.col("n"))).over(one)
+    first = F.min(F.when((F.col("refs") >= k) & (F.col("total") - F.col("refs") >= q), F.col("try_no"))).over(Window.partitionBy("draw", taxon))
+    sides, low = None, 0
+    while True:
+        high = min(tries, 8 * low or 1)
+        laid = left.repartition("draw", taxon).withColumn("try_no", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        laid = laid.withColumn("role", F.when(before < k, "reference").otherwise("query")).withColumn("refs", refs).withColumn("first", first)
+        settled = scratch.save(laid.filter("try_no = first").select("draw", taxon, "try_no", group, "role"), f"sides-{low}")
+        sides = settled if sides is None else sides.unionByName(settled)
+        if high == tries:
+            return sides
+        left = scratch.save(left.join(settled.select("draw", taxon).distinct(), ["draw", taxon], "left_anti"), f"left-{low}")
+        if not left.limit(1).count():
+            return sides
+        low = high
+
+
+def draws(rows: DataFrame, taxon: str, group: str, key: str, k: int, q: int, n_draws: int, tries: int, seed: str) -> DataFrame:
+    """draw, taxon, try_no, group, key, role, ref_rank: per draw the first try that leaves q queries.
+
+    Only the chosen try meets the rows.  The reference is the first k rows in
+    hash order, so a smaller k is a prefix of it; whole groups are on one side.
+    ``failed_draws`` names the taxa that no try fits.
+    """
+    members = rows.select(taxon, group, key).join(draw_sides(rows, taxon, group, k, q, n_draws, tries, seed), [taxon, group])
+    rn = F.row_number().over(Window.partitionBy("draw", taxon).orderBy(hash_order(F.lit(seed), F.col("draw"), F.col(key)), key))
+    reference = members.filter("role = 'reference'").withColumn("ref_rank", rn).filter(F.col("ref_rank") <= k)
+    queries = members.filter("role = 'query'").withColumn("ref_rank", F.lit(None).cast("int"))
+    return reference.unionByName(queries).select("draw", taxon, "try_no", group, key, "role", "ref_rank")
+
+
+def failed_draws(rows: DataFrame, taxon: str, group: str, k: int, q: int, n_draws: int, tries: int, seed: str) -> DataFrame:
+    """taxon, draws: usable taxa with the number of their draws that no try fits."""
+    made = draw_sides(rows, taxon, group, k, q, n_draws, tries, seed).groupBy(taxon).agg(F.count_distinct("draw").alias("made"))
+    short = F.lit(n_draws) - F.coalesce("made", F.lit(0))
+    return usable(rows, taxon, group, k, q).join(made, taxon, "left").select(taxon, short.alias("draws")).filter("draws > 0")
 
 
 def match_shape(rows: DataFrame, side: str, first: object, second: object, bin_: Column, key: str, seed: str) -> DataFrame:

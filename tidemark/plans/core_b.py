@@ -145,15 +145,20 @@ f AS (SELECT d::INT draw, species, t::INT try_no, deployment, key, r "role", CAS
 
 @query("make_draws", DRAWS_SQL + " SELECT draw, species, try_no, deployment, key, \"role\", ref_rank FROM f")
 def make_draws(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.draws(crops(spark, sf), "species", "deployment", "key", 10, 10, 2, 4, "w")
+    return sampling.draws(crops(spark, sf), "species", "deployment", "key", 20, 10, 10, 1000, "w")
 
 
 @query("draws_disjoint", DRAWS_SQL + " SELECT count(*) AS shared FROM (SELECT draw, species, deployment FROM f GROUP BY ALL HAVING count(DISTINCT \"role\") > 1)")
 def draws_disjoint(spark: SparkSession, sf: str) -> DataFrame:
-    d = sampling.draws(crops(spark, sf), "species", "deployment", "key", 10, 10, 2, 4, "w")
+    d = sampling.draws(crops(spark, sf), "species", "deployment", "key", 20, 10, 10, 1000, "w")
     return d.groupBy("draw", "species", "deployment").agg(F.count_distinct("role").alias("r")).filter("r > 1").agg(F.count("*").alias("shared"))
 
 
+@query("draws_failed")
+def draws_failed(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.failed_draws(crops(spark, sf), "species", "deployment", 20, 10, 10, 1000, "w")
+
+
 @query("match_shape", f"""{WITH}, b AS (SELECT key, source, (least(w, h) // 32)::INT bin FROM crops WHERE source IN ('A', 'R')), c AS (SELECT bin, count(*) FILTER (source = 'A')::DOUBLE ca, count(*) FILTER (source = 'R')::DOUBLE cb FROM b GROUP BY bin),
 p AS (SELECT bin, ca, cb, least(ca / sum(ca) OVER (), cb / sum(cb) OVER ()) q FROM c), z AS (SELECT bin, ca, cb, q / sum(q) OVER () q FROM p WHERE q > 0), f AS (SELECT *, min(ca / q) OVER () fa, min(cb / q) OVER () fb FROM z),
 u AS (SELECT bin, least(ca, floor(fa * q + 1e-9)) qa, least(cb, floor(fb * q + 1e-9)) qb FROM f), r AS (SELECT key, source, bin, row_number() OVER (PARTITION BY source, bin ORDER BY sha256('m:' || key), key) rn FROM b)
