@@ -81,3 +81,17 @@ def test_draws_go_on_until_a_try_fits(spark, tmp_path):
     assert got == {pair: ({t}, set(refs), n) for pair, (t, refs, n) in want.items()}
     assert QUERIES["draws_disjoint"](spark, str(tmp_path)).head()["shared"] == 0
     assert [tuple(r) for r in QUERIES["draws_failed"](spark, str(tmp_path)).collect()] == [(20, 10)]
+
+
+def test_offset_search_asks_for_every_click(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, i % 7, ("click", "view", "error")[i % 3], start + datetime.timedelta(hours=i * 5 % 83)) for i in range(1, 200)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    hour = {i: (t - start) // datetime.timedelta(hours=1) for i, _, _, t in events}
+    want = {}
+    for i, user, kind, _ in events:
+        near = [(abs(hour[j] - hour[i]), hour[j] - hour[i], "LR"[j % 2]) for j, u, k, _ in events if k != "click" and u == user and abs(hour[j] - hour[i]) <= 6]
+        if kind == "click" and near:
+            want[i] = min(near)[1:]
+    assert {i % 10 for i in want} == set(range(10))
+    assert {r["i"]: (r["delta"], r["camera"]) for r in QUERIES["offset_search"](spark, str(tmp_path)).collect()} == want

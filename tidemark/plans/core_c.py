@@ -178,8 +178,8 @@ def place_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("offset_search", "WITH w AS (SELECT event_id i, user_id v, (epoch_us(ts) // 3600000000)::BIGINT f FROM events WHERE event_id % 10 = 0), h AS (SELECT DISTINCT user_id v, (epoch_us(ts) // 3600000000)::BIGINT f, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END camera FROM events WHERE event_id % 10 <> 0) SELECT i, (h.f - w.f)::INT delta, camera FROM w JOIN h ON w.v = h.v AND abs(h.f - w.f) <= 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(h.f - w.f), h.f - w.f, camera) = 1")
 def offset_search(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("v"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("f"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("camera"))
-    return R.offset_search(e.filter("i % 10 = 0").drop("camera"), e.filter("i % 10 <> 0"), ["v"], "f", "camera", "i", 6)
+    e = table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("v"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("f"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("camera"), F.col("event_type").eqNullSafe("click").alias("asks"))
+    return R.offset_search(e.filter("asks").drop("camera"), e.filter("not asks"), ["v"], "f", "camera", "i", 6)
 
 
 @query("only_in_block", "SELECT min(l_returnflag) source, l_orderkey AS concept, count(*) n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
