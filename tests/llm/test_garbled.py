@@ -84,3 +84,20 @@ def test_restore_table(spark):
     assert {r["doc_id"] for r in got} >= {1000} and {r["doc_id"] for r in got} <= {1000, 1003}
     assert next(r for r in got if r["doc_id"] == 1000)["restored"].startswith("La caméra a touché")
     assert G.restore(spark, spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("part", [False, True], ids=["whole", "word by word"])
+def test_every_chain_above_the_prior_is_inverted(model, part):
+    import numpy as np
+
+    chain = (("cp1251", "cp1252"),)
+    right = TEMPLATES["ru"][0].format(12)
+    bad = right.encode("cp1251").decode("cp1252")
+    if part:  # a lost character: the sentence as a whole can't be inverted
+        bad, right = bad + " " + G.LOST, right + " " + G.LOST
+    odds = np.full(len(model.chains), G.PRIOR - 1, np.float32)
+    c = model.chains.index(chain)
+    wrong = [i for i in range(len(odds)) if i != c and not any(w == "utf-8" for w, _ in model.chains[i]) and model.chains[i][0][0] not in ("cp1251",)][:12]
+    odds[wrong], odds[c] = G.PRIOR + 9, G.PRIOR + 1
+    text, used, garbled = G.restore_segment(model, bad, odds)
+    assert garbled and text == right and used == "cp1251>cp1252" + " in part" * part

@@ -31,7 +31,6 @@ COMMON = 0.02  # a character in this share of the sampled documents is taken as
 SMOOTH = 0.02
 PRIOR = 1.0  # log odds against garbling
 SURE = 14.0  # log odds that suffice where characters were lost and nothing can be inverted
-TRIED = 8  # likeliest chains that are inverted
 BETTER = 0.1  # by so much the restored byte pairs must be known better
 GAIN = 3.0  # log likelihood as correct text that restoring must add
 KNOWN = 0.75  # share of the restored byte pairs that correct text must have
@@ -220,7 +219,7 @@ def multibyte_words(model: Model, segment: str) -> str | None:
 
 def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str, str | None, bool]:
     """(text, chain or None, garbled) of one sentence."""
-    order = [c for c in np.argsort(-odds)[:TRIED] if odds[c] > PRIOR]
+    order = [c for c in np.argsort(-odds) if odds[c] > PRIOR]
     if not order:
         back = multibyte_words(model, segment)
         return back or segment, "utf-8 in part" if back else None, back is not None
@@ -241,7 +240,7 @@ def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str,
         _, _, back, c = max(fits)
         return back, "+".join(f"{w}>{r}" for w, r in model.chains[c]), True
     # characters were lost, or only some words are garbled: word by word
-    for c in order[:3]:
+    for c in order:
         words = re.split(r"( +)", segment)
         backs = []
         for w in words:
