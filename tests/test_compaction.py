@@ -30,6 +30,17 @@ def test_records_of_lines_arrays_and_damage():
     assert list(C.records_in("")) == list(C.records_in(None)) == list(C.records_in("no json")) == []
 
 
+def test_records_after_a_damaged_one_in_the_same_line():
+    a, b, c, d = (json.dumps(record(x, weight={"kg": 1, "crop_key": "no"}, parts=[[{"crop_key": "no"}], {"crop_key": "no"}])) for x in "abcd")
+    keys = lambda text: [r["crop_key"] for r in C.records_in(text)]
+    assert keys(f"[{a}, {b.replace('1.5', '1.5.5')}, {c}, {d}]") == ["a", "c", "d"]  # a bad value before nested objects
+    assert keys(f"[{a}, {b[:-1]} tru}}, {c}, {d}]") == ["a", "c", "d"]  # after them
+    assert keys(f"[{a}, {b[:40]}, {c}, {d}]") == ["a", "c", "d"]  # cut off in the middle
+    assert keys(f"[{a}, {b.replace('a.jpg', 'a {} b, {1}')[:-1]}, {c}") == ["a", "c"]  # braces in a string
+    assert keys(f"{a}\n{b[:-3]}\n{c}") == ["a", "c"] and keys(b[:-3]) == []
+    assert list(C.records_in(f"{b[:-3]}\n" + '{"only": "other fields"}')) == [{"only": "other fields"}]
+
+
 def test_each_record_once(spark, rows):
     long = "x" * 200_000
     payloads = [

@@ -9,6 +9,7 @@ what stands in the files are compared.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ PARSED = (
     "file_id long, file_source string, crop_key string, source string, file_name string, native_width long, "
     "native_height long, depth_m double, note string, extra string, bytes long, code long"
 )
+_MARKS = re.compile(r'"(?:[^"\\\n]|\\.)*"|[{}\[\]]')  # strings and brackets
 RECORD = ("crop_key", "source", "file_name", "native_width", "native_height", "depth_m", "note", "extra")
 
 
@@ -59,16 +61,45 @@ def hilbert_codes(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return code
 
 
+def _after(text: str, start: int) -> int:
+    """Where the object or list that begins at start ends by its brackets outside strings, parseable or not; just after start if they never close."""
+    depth = 0
+    for m in _MARKS.finditer(text, start):
+        depth += (m[0] in ("{", "[")) - (m[0] in ("}", "]"))
+        if depth == 0:
+            return m.end()
+    return start + 1
+
+
 def records_in(payload: str | None) -> Iterator[dict]:
-    """Complete JSON objects of a payload, one per line or in an array; cut-off ones are skipped."""
-    text, decoder, at = payload or "", json.JSONDecoder(), 0
+    """Complete JSON objects of a payload, one per line or in an array; cut-off ones are skipped.
+
+    What follows a damaged object is read on from inside it, as its end is not
+    known: there an object counts if it begins a line or has a field of a record,
+    and is not the value of a key, nor in a list that is.
+    """
+    text, decoder, at, sound = payload or "", json.JSONDecoder(), 0, True
     while (start := text.find("{", at)) >= 0:
+        outer = start
+        if not sound:
+            before = text[at:start].rstrip()
+            while before.endswith("["):
+                outer = at + len(before) - 1
+                before = before[:-1].rstrip()
+            if before.endswith(":"):
+                try:
+                    at = decoder.raw_decode(text, outer)[1]
+                except (ValueError, RecursionError):
+                    at = max(_after(text, outer), start + 1)
+                continue
         try:
             found, at = decoder.raw_decode(text, start)
-            yield found
         except (ValueError, RecursionError):
-            line = text.find("\n", start)
-            at = line if line >= 0 else len(text)
+            at, sound = start + 1, False
+            continue
+        begins_line = not text[text.rfind("\n", 0, start) + 1 : start].strip()
+        if sound or begins_line or not found.keys().isdisjoint(FIELDS):
+            yield found
 
 
 def _number(value: object, kind: type) -> float | int | None:
@@ -163,6 +194,12 @@ def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = No
     read, written = ({r["source"]: (r["records"], r["digest"]) for r in digest(x).collect()} for x in (records, out))  # one row per source
     if read != written:
         raise RuntimeError(f"the consolidated files differ from their sources: {read} and {written}")
+    # the payloads parsed anew, before repeats are merged: every delivery of every identity
+    mark = F.xxhash64(identity).cast("decimal(38,0)")
+    delivered = parsed.agg(F.count("*").alias("n"), F.sum(mark).alias("digest")).head()
+    held = out.agg(F.sum("occurrences").alias("n"), F.sum(mark * F.col("occurrences")).alias("digest")).head()
+    if (delivered["n"], delivered["digest"]) != (held["n"] or 0, held["digest"]):
+        raise RuntimeError(f"the payloads deliver {delivered}, the consolidated files hold {held}")
     scratch.drop("records")
     scratch.drop("bounds")
     manifest = out.groupBy("source", "file_no").agg(
