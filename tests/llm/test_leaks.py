@@ -84,15 +84,72 @@ def test_reparameterised(spark):
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in got] == [(1, 7, "reparameterised")]
 
 
-def test_wide_item_sets_take_the_shuffled_way(spark, rows, monkeypatch):
-    monkeypatch.setattr(L, "BROADCAST_WINDOWS", 3)
-    item = passage(1)
-    got = L.leaks(spark, spark.createDataFrame([(1, " ".join(item), 0, ""), (2, "nothing here", 0, "")], DOCS), spark.createDataFrame([(7, " ".join(item), "")], ITEMS))
-    assert rows(got, "doc_id", "item_id", "words") == [(1, 7, 60)]
-
-
 def test_empty(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     one = spark.createDataFrame([(7, " ".join(passage(1)), "")], ITEMS)
     assert L.leaks(spark, docs, items).count() == L.leaks(spark, docs, one).count() == 0
     assert L.leaks(spark, spark.createDataFrame([(1, "a b", 0, "")], DOCS), items).count() == 0
+
+
+def test_numbers_alone_are_found(spark, rows):
+    """All windows of a table of numbers have one template; their slots tell them apart."""
+    rng = random.Random(3)
+    numbers = [str(rng.randint(100, 999)) for _ in range(40)]
+    docs = [(1, "see " + " ".join(numbers) + " end", 0, ""), (2, " ".join(reversed(numbers)), 0, ""), (3, " ".join(["7"] * 60), 0, "")]
+    items = [(5, " ".join(numbers), ""), (6, " ".join(["7"] * 40), "")]
+    got = L.leaks(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).filter("kind = 'repeated'")
+    assert rows(got, "doc_id", "item_id") == [(1, 5), (3, 6)]
+
+
+def mixed_spelling(words, rng):
+    """Each word as it is, without accents, or garbled."""
+    import unicodedata
+
+    plain = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
+    return [rng.choice([w, plain(w), w.encode().decode("cp1252", "ignore").replace("\xa0", "")]) for w in words]
+
+
+def test_mixed_readings_and_edits_are_found(spark, rows):
+    """30 words, each spelled in one of three ways, with three of them changed, dropped or added."""
+    vocabulary = [w.translate(str.maketrans({"a": "á", "o": "ô"})) if i % 2 else w for i, w in enumerate(WORDS)]
+    docs, want = [], set()
+    items = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        item = [rng.choice(vocabulary) for _ in range(50)]
+        items.append((seed, " ".join(item), ""))
+        start = rng.randint(0, 20)
+        part = mixed_spelling(item[start : start + 30], rng)
+        for k in sorted(rng.sample(range(2, 28), 3), reverse=True):
+            part[k : k + 1] = rng.choice([["odd"], [part[k], "odd"], ["odd"]])
+        docs.append((seed, "x y z " + " ".join(part) + " z y x", 0, ""))
+        want.add((seed, seed))
+    got = set(rows(L.leaks(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).filter("kind = 'repeated'"), "doc_id", "item_id"))
+    assert want <= got
+
+
+def test_slots_are_told_by_counts_not_by_length(spark, rows):
+    """A short name in another's place is a slot, a long common word is none."""
+    frames = "{2} measured the temperature of the water near the station while {0} and the information about {1} under the harbour wall of {2} was taken from {1} over the long temperature chart of the old station near {0} and the {2} of the fleet".split()
+    def made(names):
+        return " ".join(frames).format(*names)
+    items = [(i, made([f"fish{chr(97 + i)}", f"{10 + i}", f"ship{chr(97 + i)}"]), "") for i in range(12)] + [(100 + i, " ".join(passage(i)), "") for i in range(1900)]
+    got = L.leaks(spark, spark.createDataFrame([(1, made(["eel", "77", "tug"]), 0, "")], DOCS), spark.createDataFrame(items, ITEMS))
+    assert rows(got, "doc_id", "item_id", "kind") == [(1, i, "reparameterised") for i in range(12)]
+
+
+def test_item_sets_beyond_one_pass(spark, rows, monkeypatch):
+    monkeypatch.setattr(L, "PASS_WINDOWS", 60)
+    items = [(i, " ".join(passage(i)), "") for i in range(6)]
+    got = L.leaks(spark, spark.createDataFrame([(i, "so " + " ".join(passage(i)), 0, "") for i in range(6)], DOCS), spark.createDataFrame(items, ITEMS)).filter("kind = 'repeated'")
+    assert rows(got, "doc_id", "item_id") == [(i, i) for i in range(6)]
+
+
+def test_filter_keeps_every_key():
+    import numpy as np
+
+    keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    bits = np.zeros(1024, np.uint64)
+    at, own = L.filter_places(keys, 1024)
+    np.bitwise_or.at(bits, at, own)
+    assert ((bits[at] & own) == own).all()
