@@ -125,10 +125,30 @@ def test_greedy_shards(spark):
     assert [x[2] for x in got] == [0, 0, 0, 1, 1, 1, 0]
 
 
-def test_resolve_chains(spark):
-    edges = [(1, 1, "accepted"), (2, 1, "unaccepted"), (3, 2, "unaccepted"), (4, 5, "u"), (5, 4, "u"), (6, None, "nomen dubium"), (7, 99, "u"), (8, 6, "u")] + [(10 + i, 11 + i, "u") for i in range(8)]
-    got = {r["id"]: (r["final"], r["outcome"]) for r in resolve.resolve_chains(spark.createDataFrame(edges, "id long, valid long, status string")).collect()}
-    assert got[1] == (1, "accepted") and got[3] == (1, "remapped") and got[4] == (None, "review") and got[6] == (6, "kept") and got[7] == (None, "review") and got[8] == (None, "review") and got[10] == (None, "review")
+def test_resolve_accepted(spark):
+    edges = [(1, 1, "accepted"), (2, 1, "unaccepted"), (3, 2, "unaccepted"), (4, 5, "u"), (5, 4, "u"), (6, None, "nomen dubium"), (7, 99, "u"), (8, 6, "u"), (20, 9, "Nomen dubium "), (9, 9, "accepted"), (21, 9, "accepted"), (22, 22, "unaccepted"), (23, 0, None), (24, 20, "u"), (50, 6, "unaccepted"), (None, 1, "u"), (2, 1, "unaccepted")]
+    edges += [(30 + i, 31 + i, "u") for i in range(8)] + [(38, None, "accepted")]
+    records = spark.createDataFrame(edges, "id long, valid long, status string")
+    got = {r["id"]: (r["final"], r["outcome"]) for r in resolve.resolve_accepted(records).collect()}
+    want = {1: (1, "accepted"), 2: (1, "remapped"), 3: (1, "remapped"), 4: (None, "review"), 5: (None, "review"), 6: (6, "kept"), 7: (None, "review"), 8: (8, "kept"), 20: (None, "review"), 9: (9, "accepted"), 21: (21, "accepted"), 22: (22, "kept"), 23: (23, "kept"), 24: (9, "remapped"), 50: (50, "kept")}
+    want |= {30 + i: (None, "review") for i in range(4)} | {34 + i: (38, "remapped") for i in range(4)} | {38: (38, "accepted")}
+    assert got == want
+    taxa = spark.createDataFrame([("a", 1), ("b", 2), ("c", 6), ("d", 20), ("e", None), ("f", 0), ("g", 777)], "key string, aphia_id long")
+    mapped = resolve.resolve_map(taxa, records)
+    assert {r["key"]: (r["resolved"], r["outcome"]) for r in mapped.collect()} == {"a": (1, "accepted"), "b": (1, "remapped"), "c": (6, "kept"), "d": (None, "review"), "e": (None, "none"), "f": (0, "none"), "g": (None, "review")}
+    assert {(r["key"], r["status"]) for r in resolve.changes(mapped).collect()} == {("b", "unaccepted"), ("c", "nomen dubium (kept)")}
+    assert {r["key"] for r in resolve.for_review(mapped).collect()} == {"d", "g"}
+    assert [tuple(r) for r in resolve.merges(mapped, "resolved").collect()] == [(1, 2)]
+    present = spark.createDataFrame([(i,) for i in (1, 2, 20, 24, 8, 50, 21, 777, 35)], "id long")
+    assert {r["id"]: r["action"] for r in resolve.audit_chains(present, records).collect()} == {1: "ok", 2: "merge", 20: "review", 24: "review", 8: "review", 50: "rename", 21: "ok", 777: "review", 35: "review"}
+    assert resolve.resolve_accepted(spark.createDataFrame([], "id long, valid long, status string")).count() == 0
+
+
+def test_by_name(spark):
+    rows = [(1, 1, "accepted", "Aa", "Aa", "Genus"), (2, 1, "unaccepted", "Ab", "Aa", "Genus"), (3, 3, "accepted", "Twin", "Twin", "Genus"), (4, 4, "accepted", "Twin", "Twin", "Genus"), (5, 1, "unaccepted", "Aa", "Aa", "Genus"), (6, 1, "uncertain", "Odd", "Aa", "Genus")]
+    records = spark.createDataFrame(rows, "id long, valid long, status string, name string, valid_name string, taxon_rank string")
+    names = spark.createDataFrame([(" Aa",), ("Ab",), ("Twin",), ("Odd",), ("none",), (None,), ("",)], "name string")
+    assert {r["name"]: r["final"] for r in resolve.by_name(names, records).collect()} == {"Aa": 1, "Ab": 1, "Twin": None, "Odd": None, "none": None}
 
 
 def test_greedy_cover_ties(spark):

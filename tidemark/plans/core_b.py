@@ -281,29 +281,76 @@ def shard_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return shards.shard_manifest(shards.greedy_shards(d, "lang", "doc_id", "n", 20000), "lang", "n")
 
 
-CHAIN_SQL = """WITH RECURSIVE e AS (SELECT p_partkey id, CASE WHEN p_size = 13 THEN NULL WHEN p_size > 40 THEN p_partkey // 2 WHEN p_size = 7 AND p_partkey % 2 = 0 THEN p_partkey + 1 ELSE p_partkey END valid FROM part),
-w AS (SELECT id, id AS "at", valid, 0 hops, [id] seen, NULL::VARCHAR outcome FROM e UNION ALL
-SELECT w.id, coalesce(e.id, w."at"), CASE WHEN e.id IS NOT NULL THEN e.valid ELSE w.valid END, w.hops + (e.id IS NOT NULL)::INT, list_append(w.seen, coalesce(e.id, -1)), CASE WHEN e.id IS NULL OR list_contains(w.seen, w.valid) THEN 'review' END FROM w LEFT JOIN e ON e.id = w.valid AND NOT list_contains(w.seen, w.valid)
-WHERE w.outcome IS NULL AND w.valid IS NOT NULL AND w.valid <> w."at" AND w.hops < 5),
-z AS (SELECT id, "at", valid, hops, outcome, row_number() OVER (PARTITION BY id ORDER BY len(seen) DESC) rn FROM w),
-o AS (SELECT id, "at", hops, CASE WHEN outcome IS NOT NULL THEN outcome WHEN valid IS NULL AND hops = 0 THEN 'kept' WHEN valid IS NULL THEN 'review' WHEN valid = "at" AND hops = 0 THEN 'accepted' WHEN valid = "at" THEN 'remapped' ELSE 'review' END outcome FROM z WHERE rn = 1)"""
-
-
-def _chains(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+# a record per part: replacements, circles, missing records and doubtful statuses by its size
+RECORDS_SQL = """SELECT p_partkey::BIGINT AS id, CASE WHEN p_size IN (13, 21) THEN NULL WHEN p_size > 36 OR p_size = 20 THEN p_partkey // 2 WHEN p_size BETWEEN 24 AND 30 THEN xor(p_partkey, 1) WHEN p_size = 9 THEN p_partkey + 100000000 ELSE p_partkey END::BIGINT AS valid,
+    CASE WHEN p_size = 20 THEN 'Nomen dubium' WHEN p_size = 21 THEN 'taxon inquirendum' WHEN p_size = 13 OR p_size > 36 OR p_size BETWEEN 24 AND 30 OR p_size IN (9, 22) THEN 'unaccepted' ELSE 'accepted' END AS status FROM part"""
+CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT id, lower(status) status, CASE WHEN valid <> 0 AND valid <> id THEN valid END choice, lower(status) IN ('alternate representation', 'nomen dubium', 'taxon inquirendum', 'uncertain', 'interim unpublished') doubt FROM ({RECORDS_SQL})),
+w AS (SELECT id, id AS "at", 0 hops, [id] seen, status origin_status FROM e
+UNION ALL SELECT w.id, e.choice, w.hops + 1, list_append(w.seen, e.choice), w.origin_status FROM w JOIN e ON e.id = w."at" WHERE e.status <> 'accepted' AND e.choice IS NOT NULL AND NOT list_contains(w.seen, e.choice) AND NOT (w.hops = 0 AND e.doubt) AND w.hops < 4),
+z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) rn FROM w),
+o AS (SELECT z.id, z."at", z.hops, z.origin_status, CASE WHEN e.id IS NULL OR z.hops = 0 AND e.doubt AND e.choice IS NOT NULL THEN 'review' WHEN e.status = 'accepted' AND z.hops = 0 THEN 'accepted' WHEN e.status = 'accepted' THEN 'remapped' WHEN e.choice IS NULL THEN 'kept' ELSE 'review' END outcome FROM z LEFT JOIN e ON e.id = z."at" WHERE rn = 1),
+f AS (SELECT id, CASE outcome WHEN 'kept' THEN id WHEN 'review' THEN NULL ELSE "at" END AS final, "at" AS last, hops, origin_status, outcome FROM o)"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
-    valid = F.when(size == 13, F.lit(None)).when(size > 40, F.floor(key / 2)).when((size == 7) & (key % 2 == 0), key + 1).otherwise(key)
-    return resolve.resolve_chains(p.select(key.alias("id"), valid.cast("long").alias("valid"), F.lit("accepted").alias("status")))
+    valid = F.when(size.isin(13, 21), F.lit(None)).when((size > 36) | (size == 20), F.floor(key / 2)).when(size.between(24, 30), key.bitwiseXOR(F.lit(1))).when(size == 9, key + 100000000).otherwise(key)
+    status = F.when(size == 20, "Nomen dubium").when(size == 21, "taxon inquirendum").when(size.isin(13, 9, 22) | (size > 36) | size.between(24, 30), "unaccepted").otherwise("accepted")
+    return table(spark, sf, "part").select(key.cast("long").alias("id"), valid.cast("long").alias("valid"), status.alias("status"))
 
 
-@query("resolve_chain", CHAIN_SQL + " SELECT id, CASE WHEN outcome <> 'review' THEN \"at\" END AS final, hops, outcome FROM o")
+@query("resolve_chain", CHAIN_SQL + " SELECT id, final, last, hops, origin_status, outcome FROM f")
 def resolve_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return _chains(spark, sf)
+    return resolve.resolve_accepted(_records(spark, sf)).drop("note")
 
 
-@query("chain_merges", CHAIN_SQL + " SELECT \"at\" AS final, count(*) n FROM o WHERE outcome <> 'review' GROUP BY ALL HAVING count(*) > 1")
+@query("chain_merges", CHAIN_SQL + " SELECT final, count(*) n FROM f WHERE final IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def chain_merges(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.merges(_chains(spark, sf))
+    return resolve.merges(resolve.resolve_accepted(_records(spark, sf)))
+
+
+# what typed names map to: the parts of the order lines by brand and size
+MAPPED_SQL = CHAIN_SQL + """, t AS (SELECT DISTINCT p_brand || '/' || p_size AS key, CASE WHEN p_size = 1 THEN NULL WHEN p_size = 2 THEN 0 WHEN p_size = 3 THEN p_partkey + 200000000 ELSE p_partkey END::BIGINT AS aphia_id FROM part),
+m AS (SELECT key, aphia_id, CASE WHEN coalesce(aphia_id, 0) = 0 THEN aphia_id ELSE final END resolved, CASE WHEN coalesce(aphia_id, 0) = 0 THEN 'none' ELSE coalesce(outcome, 'review') END outcome, origin_status FROM t LEFT JOIN f ON f.id = t.aphia_id)"""
+
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    taxa = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("key"), F.when(size == 1, F.lit(None)).when(size == 2, 0).when(size == 3, F.col("p_partkey") + 200000000).otherwise(F.col("p_partkey")).cast("long").alias("aphia_id")).distinct()
+    return resolve.resolve_map(taxa, _records(spark, sf))
+
+
+@query("map_changes", MAPPED_SQL + " SELECT key, aphia_id, resolved, CASE outcome WHEN 'kept' THEN origin_status || ' (kept)' ELSE origin_status END AS status FROM m WHERE outcome IN ('remapped', 'kept')")
+def map_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.changes(_mapped(spark, sf))
+
+
+@query("map_review", MAPPED_SQL + " SELECT key, aphia_id, origin_status FROM m WHERE outcome = 'review'")
+def map_review(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.for_review(_mapped(spark, sf)).drop("note")
+
+
+@query("map_merges", MAPPED_SQL + " SELECT resolved, count(*) n FROM m WHERE coalesce(resolved, 0) <> 0 GROUP BY ALL HAVING count(*) > 1")
+def map_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.merges(_mapped(spark, sf), "resolved")
+
+
+@query("chain_audit", CHAIN_SQL + """, p AS (SELECT DISTINCT l_partkey::BIGINT id FROM lineitem WHERE l_linenumber > 2),
+j AS (SELECT p.id, CASE WHEN f.outcome <> 'review' THEN f.last END AS final, coalesce(f.hops, 0) hops, coalesce(f.outcome, 'review') outcome, coalesce(f.origin_status, '') origin_status FROM p LEFT JOIN f ON f.id = p.id)
+SELECT id, final, hops, CASE WHEN outcome = 'accepted' THEN 'ok' WHEN outcome <> 'review' AND final <> id AND origin_status = 'unaccepted' AND final IN (SELECT id FROM p) THEN 'merge' WHEN outcome <> 'review' AND final <> id AND origin_status = 'unaccepted' THEN 'rename' ELSE 'review' END AS action FROM j""")
+def chain_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.audit_chains(table(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_partkey").cast("long").alias("id")), _records(spark, sf))
+
+
+NAMED_SQL = CHAIN_SQL + """, r AS (SELECT p.id, p.status, n.p_name AS name, n.p_brand AS valid_name, n.p_type AS taxon_rank FROM (""" + RECORDS_SQL + """) p JOIN part n ON n.p_partkey = p.id),
+c AS (SELECT name, count(*) FILTER (status = 'accepted') good, count(*) a, min(id) FILTER (status = 'accepted') ga, min(id) aa FROM r GROUP BY name)"""
+
+
+@query("names_to_records", NAMED_SQL + " SELECT c.name, f.final, r.valid_name, r.taxon_rank FROM c LEFT JOIN f ON f.id = CASE WHEN good = 1 THEN ga WHEN good = 0 AND a = 1 THEN aa END LEFT JOIN r ON r.id = f.final")
+def names_to_records(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    named = part.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("valid_name"), F.col("p_type").alias("taxon_rank"))
+    return resolve.by_name(part.select(F.col("p_name").alias("name")), _records(spark, sf).join(named, "id"))
 
 
 @query("post_merge_revive", "WITH t AS (SELECT l_partkey % 250 AS id, count(*) n FROM lineitem GROUP BY ALL), p AS (SELECT p_partkey, p_partkey % 250 AS id, p_size > 30 kept FROM part) SELECT p_partkey, (kept OR n >= 240) AS kept FROM p JOIN t ON t.id = p.id")
@@ -319,7 +366,7 @@ def unique_match(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.unique_match(names, table(spark, sf, "worms_names").withColumnRenamed("aphia_id", "id"), ["genus", "taxon_rank"])
 
 
-@query("token_components", """WITH RECURSIVE e AS (SELECT DISTINCT 't' || o_custkey a, 't' || (o_custkey + o_orderkey % 3) b FROM orders WHERE o_orderkey % 5 = 0), d AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+@query("token_components", """WITH RECURSIVE e AS (SELECT DISTINCT 't' || o_custkey a, 't' || (o_custkey + o_orderkey % 3) b FROM orders), d AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a v, a root FROM d UNION SELECT d.b, r.root FROM r JOIN d ON d.a = r.v) SELECT v, min(root) root FROM r GROUP BY v""".replace("(o_custkey + o_orderkey % 3)", "(o_custkey // 4 * 4 + o_orderkey % 3)"))
 def token_components(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
