@@ -136,11 +136,19 @@ def take_until(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.take_until(crops(spark, sf), "genus", "deployment", 20, "t")
 
 
-DRAWS_SQL = f"""{WITH}, p AS (SELECT species, deployment, count(*) n FROM crops GROUP BY ALL), c AS (SELECT p.*, d, t FROM p, range(2) a(d), range(4) b(t)),
-l AS (SELECT *, CASE WHEN coalesce(sum(n) OVER (PARTITION BY d, t, species ORDER BY sha256('w:' || d || ':' || t || ':' || species || ':' || deployment), deployment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10 THEN 'reference' ELSE 'query' END r FROM c),
-g AS (SELECT d, species, t FROM l GROUP BY ALL HAVING coalesce(sum(n) FILTER (r = 'query'), 0) >= 10 AND coalesce(sum(n) FILTER (r = 'reference'), 0) >= 10), ch AS (SELECT d, species, min(t) t FROM g GROUP BY ALL),
-m AS (SELECT l.d, l.species, l.t, l.deployment, k.key, l.r, row_number() OVER (PARTITION BY l.d, l.species, l.r ORDER BY sha256('w:' || l.d || ':' || k.key), k.key) rn FROM l JOIN ch ON ch.d = l.d AND ch.species = l.species AND ch.t = l.t JOIN crops k ON k.species = l.species AND k.deployment = l.deployment),
-f AS (SELECT d::INT draw, species, t::INT try_no, deployment, key, r "role", CASE WHEN r = 'reference' THEN rn END ref_rank FROM m WHERE r = 'query' OR rn <= 10)"""
+def _tries(name: str, rest: str, low: int, high: int) -> str:
+    """The sides of tries low to high - 1 of the (d, species) of ``rest``, and the first that fits."""
+    return f"""l{name} AS (SELECT *, CASE WHEN coalesce(sum(n) OVER (PARTITION BY d, t, species ORDER BY sha256('w:' || d || ':' || t || ':' || species || ':' || deployment), deployment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20 THEN 'reference' ELSE 'query' END r
+    FROM (SELECT p.*, d, t FROM {rest} JOIN p USING (species), range({low}, {high}) b(t))),
+g{name} AS (SELECT d, species, min(t) t FROM (SELECT d, species, t FROM l{name} GROUP BY ALL HAVING coalesce(sum(n) FILTER (r = 'query'), 0) >= 10 AND coalesce(sum(n) FILTER (r = 'reference'), 0) >= 20) GROUP BY ALL),
+c{name} AS (SELECT l.* FROM l{name} l JOIN g{name} USING (d, species, t))"""
+
+
+# 1000 tries in three rounds; a species whose counts leave too few on one side whatever the order has no try
+DRAWS_SQL = f"""{WITH}, p AS (SELECT species, deployment, count(*) n FROM crops GROUP BY ALL), s AS (SELECT d, species FROM (SELECT species FROM p GROUP BY species HAVING sum(n) >= 30 AND sum(n) - max(n) >= 10), range(10) a(d)),
+{_tries("1", "s", 0, 4)}, s2 AS (FROM s ANTI JOIN g1 USING (d, species)), {_tries("2", "s2", 4, 32)}, s3 AS (FROM s2 ANTI JOIN g2 USING (d, species)), {_tries("3", "s3", 32, 1000)}, ch AS (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3),
+m AS (SELECT l.d, l.species, l.t, l.deployment, k.key, l.r, row_number() OVER (PARTITION BY l.d, l.species, l.r ORDER BY sha256('w:' || l.d || ':' || k.key), k.key) rn FROM ch l JOIN crops k ON k.species = l.species AND k.deployment = l.deployment),
+f AS (SELECT d::INT draw, species, t::INT try_no, deployment, key, r "role", CASE WHEN r = 'reference' THEN rn END ref_rank FROM m WHERE r = 'query' OR rn <= 20)"""
 
 
 @query("make_draws", DRAWS_SQL + " SELECT draw, species, try_no, deployment, key, \"role\", ref_rank FROM f")
@@ -154,7 +162,7 @@ def draws_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("draw", "species", "deployment").agg(F.count_distinct("role").alias("r")).filter("r > 1").agg(F.count("*").alias("shared"))
 
 
-@query("draws_failed")
+@query("draws_failed", DRAWS_SQL + ", u AS (SELECT species FROM p GROUP BY species HAVING sum(n) >= 30 AND sum(n) - max(n) >= 10), k AS (SELECT species, count(DISTINCT d) made FROM ch GROUP BY species) SELECT u.species, 10 - coalesce(made, 0) AS draws FROM u LEFT JOIN k USING (species) WHERE coalesce(made, 0) < 10")
 def draws_failed(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.failed_draws(crops(spark, sf), "species", "deployment", 20, 10, 10, 1000, "w")
 

@@ -122,7 +122,7 @@ def frame_routes(spark: SparkSession, sf: str) -> DataFrame:
 UNI = "(concat('0x', substr(sha256('bg:' || {0}), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE"
 
 
-@query("place_backgrounds", f"""{WITH}, f AS (SELECT DISTINCT species fr FROM crops), s AS (SELECT fr, [[200, 150], [600, 400], [64, 64]][(floor({UNI.format("'size:' || fr")} * 3) + 1)::INT] sz FROM f), p AS (SELECT fr, t::INT t, sz[1] w, sz[2] h, floor({UNI.format("'x:' || t || ':' || fr")} * (1920 - sz[1] + 1))::INT x, floor({UNI.format("'y:' || t || ':' || fr")} * (1080 - sz[2] + 1))::INT y FROM s, range(8) r(t)),
+@query("place_backgrounds", f"""{WITH}, f AS (SELECT DISTINCT species fr FROM crops), s AS (SELECT fr, [[200, 150], [600, 400], [64, 64]][(floor({UNI.format("'size:' || fr")} * 3) + 1)::INT] sz FROM f), p AS (SELECT fr, t::INT t, sz[1] w, sz[2] h, floor({UNI.format("'x:' || t || ':' || fr")} * (1920 - sz[1] + 1))::INT x, floor({UNI.format("'y:' || t || ':' || fr")} * (1080 - sz[2] + 1))::INT y FROM s, range(60) r(t)),
 c AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM crops b WHERE b.species = p.fr AND p.x < b.x + b.w + 8 AND b.x - 8 < p.x + p.w AND p.y < b.y + b.h + 8 AND b.y - 8 < p.y + p.h)) SELECT fr AS frame, w, h, x, y FROM c QUALIFY row_number() OVER (PARTITION BY fr ORDER BY t) = 1""")
 def place_backgrounds(spark: SparkSession, sf: str) -> DataFrame:
     c = crops(spark, sf).select(F.col("species").alias("frame"), "x", "y", "w", "h")
@@ -176,7 +176,7 @@ def place_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "split_crops").filter("grp <> ''").select("grp", place_key("grp").alias("key")).distinct()
 
 
-@query("offset_search", "WITH w AS (SELECT event_id i, user_id v, (epoch_us(ts) // 3600000000)::BIGINT f FROM events WHERE event_id % 10 = 0), h AS (SELECT DISTINCT user_id v, (epoch_us(ts) // 3600000000)::BIGINT f, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END camera FROM events WHERE event_id % 10 <> 0) SELECT i, (h.f - w.f)::INT delta, camera FROM w JOIN h ON w.v = h.v AND abs(h.f - w.f) <= 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(h.f - w.f), h.f - w.f, camera) = 1")
+@query("offset_search", "WITH w AS (SELECT event_id i, user_id v, (epoch_us(ts) // 3600000000)::BIGINT f FROM events WHERE event_type = 'click'), h AS (SELECT DISTINCT user_id v, (epoch_us(ts) // 3600000000)::BIGINT f, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END camera FROM events WHERE event_type IS DISTINCT FROM 'click') SELECT i, (h.f - w.f)::INT delta, camera FROM w JOIN h ON w.v = h.v AND abs(h.f - w.f) <= 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(h.f - w.f), h.f - w.f, camera) = 1")
 def offset_search(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("v"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("f"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("camera"), F.col("event_type").eqNullSafe("click").alias("asks"))
     return R.offset_search(e.filter("asks").drop("camera"), e.filter("not asks"), ["v"], "f", "camera", "i", 6)
