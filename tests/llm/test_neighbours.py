@@ -85,11 +85,34 @@ def test_hot_cells_are_split(spark):
     x = centre + 0.02 * rng.normal(size=(400, 16))  # all in one place
     want, _ = nearest(x, 5)
     got: dict = {}
-    for r in N.similar(spark, N.unit_vectors(table(spark, x)), shard=40).collect():
+    for r in N.similar(spark, N.unit_vectors(table(spark, x)), shard=100, largest=50).collect():
         got.setdefault(r["id"], set()).add(r["neighbour"])
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in range(400)]) > 0.9
 
 
+def test_every_row_reaches_the_recall_over_many_cells(spark):
+    """No structure, 40 cells: the number of cells to search is measured, not fixed."""
+    x = np.random.default_rng(8).normal(size=(2000, 16))
+    units = N.unit_vectors(table(spark, x)).cache()
+    found = N.similar(spark, units, shard=50, beam=32).cache()
+    want, _ = nearest(x, 5)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    true = np.mean([len(got[i] & set(want[i])) / 5 for i in range(2000)])
+    measured = N.recall(spark, units, found, units.select("id")).collect()
+    assert true >= 0.9 and [r["asked"] for r in measured] == [2000] and abs(measured[0]["recall"] - true) < 1e-3
+
+
+def test_more_probes_where_neighbours_are_farther():
+    x = np.random.default_rng(9).normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = N.fit_centres(x, 60)
+    few, more, most = (N.needed_probes(x, centres, least, 5) for least in (0.98, 0.9, -2.0))
+    assert 1 <= few < more < most <= 60
+    assert N.fit_centres(x, 300).shape[0] <= 300 and N.needed_probes(x, centres[:1], 0.9, 5) == 1
+
+
 def test_empty(spark):
     assert N.close_pairs(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     assert N.similar(spark, N.unit_vectors(table(spark, clustered(1)))).count() == 0

@@ -156,13 +156,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.close_pairs(spark, table(spark, sf, "readouts"))
 
 
-@query("p5_neighbours")
-def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated query set: every readout whose id is divisible by 50, against all shards."""
+def _neighbours(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     readouts = table(spark, sf, "readouts")
     units = Scratch(spark, "units").save(neighbours.unit_vectors(readouts), "units")
     asked = readouts.filter("readout_id % 50 = 0").select(F.col("readout_id").alias("id")).distinct()
-    return neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM, shard=neighbours.WIDE_SHARD)
+    return units, asked, neighbours.similar(spark, units, queries=asked, probes=None, beam=neighbours.WIDE_BEAM, shard=neighbours.WIDE_SHARD)
+
+
+@query("p5_neighbours")
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set: every readout whose id is divisible by 50, against all shards."""
+    return _neighbours(spark, sf)[2]
+
+
+@query("p5_recall")
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of p5_neighbours by group, against brute force over all readouts."""
+    units, asked, found = _neighbours(spark, sf)
+    return neighbours.recall(spark, units, Scratch(spark, "found").save(found, "found"), asked)
 
 
 # 8. leaked evaluation texts
