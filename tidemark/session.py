@@ -93,6 +93,40 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Kept:
+    """A table that outlives a run: numbered versions in a named folder, of which the newest complete one counts.
+
+    A version is complete once its writer has committed it, so a run that dies
+    leaves the one before; a version stays readable while the next is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, oldest first."""
+        folder = self._hadoop.Path(self.path)
+        if not self._fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
+        numbers = sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        return [n for n in numbers if self._fs.exists(self._hadoop.Path(f"{self.path}/v{n}/_SUCCESS"))]
+
+    def load(self) -> DataFrame | None:
+        """The newest version, or None."""
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """Writes the next version and reads it again."""
+        found = self.versions()
+        to = f"{self.path}/v{found[-1] + 1 if found else 1}"
+        df.write.mode("overwrite").parquet(to)
+        return self.spark.read.schema(df.schema).parquet(to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shared Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
