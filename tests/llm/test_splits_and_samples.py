@@ -71,9 +71,9 @@ SELECTED = "run_no int, seed long, frac double, drawn_at string, crop_key string
 
 def test_lost_keys(spark, rows):
     picked = [(1, 7, 0.5, None, "FN-1.jpg"), (2, 7, 0.5, None, "fn_1"), (1, 7, 0.5, None, "fn-2"), (3, 7, 0.5, None, "fn-2 "), (1, 7, 0.5, None, "gone"), (2, 7, 0.5, None, "fn-3"), (3, 7, 0.5, None, "fn-3"), (3, 7, 0.5, None, "fn-4"), (1, 8, 0.5, None, "fn-1"), (1, 7, 0.5, None, None), (None, 7, 0.5, None, "fn-3"), (1, 7, 0.5, None, "fn-2")]
-    got = P.lost(spark.createDataFrame(picked, SELECTED), crops(spark, [(f"fn-{i}", "fathomnet", "train", "x") for i in range(1, 6)] * 2))
+    got = P.lost(spark, spark.createDataFrame(picked, SELECTED), crops(spark, [(f"fn-{i}", "fathomnet", "train", "x") for i in range(1, 6)] * 2))
     assert rows(got, "seed", "crop_key") == [(7, "fn-1"), (7, "fn-2")]
-    assert P.lost(spark.createDataFrame([], SELECTED), crops(spark, [])).count() == 0
+    assert P.lost(spark, spark.createDataFrame([], SELECTED), crops(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("partitions", [1, 6])
@@ -104,3 +104,26 @@ def test_current_sample_of_recorded_seeds(spark):
     got = P.current_sample(spark, spark.createDataFrame(picked, SELECTED), crops(spark, [(f"fn-{i}", "f", "train", "x") for i in range(1, 9)])).collect()
     assert len(got) == 4 and {"fn-1", "fn-2"} <= {r["crop_key"] for r in got if r["kept"]}
     assert P.current_sample(spark, spark.createDataFrame([], SELECTED), crops(spark, [])).count() == 0
+
+
+def test_ledger_is_kept_from_run_to_run(spark, tmp_path):
+    from tidemark.session import Kept
+
+    timed = lambda n: spark.createDataFrame([(f"k{i}", "f", "train", "x", f"2025-01-{1 + i // 100:02d} 00:00:00", "", 1) for i in range(n)], CROPS)
+    kept = Kept(spark, f"file://{tmp_path}/ledger")
+    first = {(r["seed"], r["crop_key"]) for r in P.next_run(spark, timed(1000), kept, {1: 0.1, 2: 0.3}).collect()}
+    # a run that died halfway leaves a version that does not count
+    (tmp_path / "ledger" / "v2").mkdir()
+    second = P.next_run(spark, timed(2500), kept, {1: 0.1, 2: 0.3}).collect()
+    now = {(r["seed"], r["crop_key"]) for r in second}
+    assert first <= now and Counter(s for s, _ in now) == {1: 250, 2: 750} and Counter(r["run_no"] for r in second) == {1: 400, 2: 600}
+    again = P.next_run(spark, timed(2500), kept, {1: 0.1, 2: 0.3})
+    assert {(r["seed"], r["crop_key"]) for r in again.collect()} == now and kept.versions() == [1, 2, 3]
+
+
+def test_cut_that_held_too_few_is_raised(spark, monkeypatch):
+    """Keys that all have high priorities: the first cuts hold none of them."""
+    high = sorted((f"k{i}" for i in range(4000)), key=lambda k: sha256(f"9:{k}".encode()).hexdigest())[-200:]
+    keys = spark.createDataFrame([(k,) for k in high], "crop_key string")
+    got = {r["crop_key"] for r in P.draw(spark, keys, spark.createDataFrame([], "seed long, crop_key string"), {9: 0.1}).collect()}
+    assert got == set(high[:20])

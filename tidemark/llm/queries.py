@@ -115,7 +115,7 @@ SELECT DISTINCT a.seed, c.crop_key FROM s a JOIN keys c ON {NAME_SQL.format('c.c
 WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.seed = a.seed AND b.run_no = r.run_no AND b.k = a.k)""",
 )
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.lost(table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
+    return sampling.lost(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
 
 
 @query(
@@ -130,6 +130,19 @@ def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.current_sample(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
 
 
+@query(
+    "p7_two_runs",
+    f"""WITH keys AS (SELECT {NAME_SQL.format('crop_key')} k, min(crop_key) crop_key, min(added_at) added_at FROM split_crops GROUP BY 1), f AS (SELECT seed, max_by(frac, run_no) frac FROM lock_selection GROUP BY seed), t AS (SELECT min(drawn_at) t FROM lock_selection),
+a AS (SELECT f.seed, frac, keys.crop_key, substr(sha256(f.seed || ':' || keys.crop_key), 1, 15) h, coalesce(added_at <= t.t, true) early FROM f, keys, t),
+one AS (SELECT seed, crop_key FROM a WHERE early QUALIFY row_number() OVER (PARTITION BY seed ORDER BY h, crop_key) <= round_even(frac * count(*) OVER (PARTITION BY seed), 0)),
+u AS (SELECT a.*, one.seed IS NOT NULL was FROM a LEFT JOIN one ON one.seed = a.seed AND one.crop_key = a.crop_key),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed, was ORDER BY h, crop_key) rn, count(*) OVER (PARTITION BY seed) n, count(*) FILTER (was) OVER (PARTITION BY seed) c FROM u)
+SELECT seed, 1 run_no, crop_key FROM one UNION ALL SELECT seed, 2, crop_key FROM r WHERE NOT was AND rn <= round_even(frac * n, 0) - c""",
+)
+def p7_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.in_two_runs(spark, table(spark, sf, "lock_selection"), table(spark, sf, "split_crops"))
+
+
 # 2. typed names
 @query("p2_found")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
