@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.vamana import Graph
+from tidemark.llm.vamana import ALPHA, Graph
 from tidemark.operators.joins import lookup_join
 from tidemark.session import Scratch
 
@@ -34,6 +34,7 @@ QUERIES = 65536  # of one shard that one task answers
 COVERED = 0.99  # share of neighbours at the least similarity whose cell must be among those searched from one side or the other
 COVERED_ALL = 0.95  # the same where every neighbour counts
 CLOSE = 0.5  # least similarity from which queries travel in one byte a dimension
+CLOSE_DEGREE = 20  # of the graphs there, built in one pass: close neighbours are found with less
 SLACK = 0.02  # of the similarity of such a query
 BEAM = 16
 WIDE_BEAM = 96
@@ -141,9 +142,13 @@ def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFram
     group, give no row.
     """
     scratch = Scratch(spark, "similar")
-    grouped = units.groupBy("grp", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.save(grouped, "classes")
-    members = scratch.save(units.join(classes.select("grp", "vec", "rep"), ["grp", "vec"]).select("id", "rep"), "members")
+    # equal vectors meet by 128 bits of hash, so only ids are shuffled for them
+    same = ["grp", "h1", "h2"]
+    hashed = units.select("id", "grp", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), F.reverse(F.hex("vec"))).alias("h2"))
+    many = scratch.save(hashed.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "copied")
+    copies = scratch.save(lookup_join(hashed, many, same).select("id", "rep"), "copies-of")
+    classes = scratch.save(lookup_join(units, copies.filter("id <> rep").select("id"), ["id"], "left_anti").withColumnRenamed("id", "rep"), "classes")
+    members = scratch.save(classes.select(F.col("rep").alias("id"), "rep").unionByName(copies.filter("id <> rep")), "members")
     sizes = {r["grp"]: r["n"] for r in classes.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row per backbone and layer
     cells_of = {g: int(max(1, min(MOST_CENTRES, -(-n // shard)))) for g, n in sizes.items()}
 
@@ -213,7 +218,8 @@ def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFram
         own, q = ask["rep"].to_numpy(), (_long if short else _matrix)(list(ask["vec"])) if len(ask) else np.empty((0, x.shape[1]), np.float32)
         if own_queries and frame["portion"].iat[0] == 0:
             own, q = np.concatenate([ids, own]), np.concatenate([x, q])
-        found, sims = Graph(x).search(q, min(beam, max(len(ids), 1)))
+        graph = Graph(x, CLOSE_DEGREE, passes=(ALPHA,)) if short else Graph(x)
+        found, sims = graph.search(q, min(beam, max(len(ids), 1)))
         found, sims = found[:, : 2 * k + 1 if short else k + 1], sims[:, : 2 * k + 1 if short else k + 1]
         row, col = np.nonzero((found >= 0) & (sims >= floor - 1e-4))
         near = ids[found[row, col]]
@@ -237,13 +243,13 @@ def similar(spark: SparkSession, units: DataFrame, k: int = K, queries: DataFram
     top = hits.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).filter(F.col("rn") <= k).drop("rn")
 
     # copies: the smallest ids of each class stand for it; a class answers its own members first
-    low = members.join(classes.filter("n > 1").select("rep"), "rep", "left_semi")
+    low = members.join(many.select("rep"), "rep", "left_semi")
     part = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("id")
     low = low.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= k + 1).drop("rn")
     low = low.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("rn") <= k + 1).drop("rn")
     low = scratch.save(low, "copies")
-    many = low.select(F.col("rep").alias("near"), F.col("id").alias("neighbour"))
-    wide = top.join(many, "near", "left").select("rep", F.coalesce("neighbour", "near").alias("neighbour"), "sim")
+    wide_of = low.select(F.col("rep").alias("near"), F.col("id").alias("neighbour"))
+    wide = top.join(wide_of, "near", "left").select("rep", F.coalesce("neighbour", "near").alias("neighbour"), "sim")
     wide = wide.unionByName(low.select("rep", F.col("id").alias("neighbour"), F.lit(1.0).alias("sim")))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "neighbour"))), 1, k + 1)  # at most (k + 1) squared
     lists = wide.groupBy("rep").agg(best.alias("best"))

@@ -18,11 +18,11 @@ EXPAND = 4  # beam entries expanded at once
 
 
 class Graph:
-    """Index of the rows of x (unit length, float32)."""
+    """Index of the rows of x (unit length, float32); passes are the relaxations of the pruning, one round over all points each."""
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0):
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, passes: tuple[float, ...] = (1.0, ALPHA), seed: int = 0):
         self.x = np.ascontiguousarray(x, np.float32)
-        self.degree, self.beam, self.alpha = degree, beam, alpha
+        self.degree, self.beam = degree, beam
         n = len(x)
         rng = np.random.default_rng(seed)
         medoid = int(np.argmax(self.x @ self.x.mean(0))) if n else 0
@@ -33,7 +33,7 @@ class Graph:
             return
         k = min(degree, n - 1)
         self.links[:, :k] = (np.arange(n)[:, None] + 1 + rng.integers(0, n - 1, (n, k))) % n
-        for relax in (1.0, alpha):
+        for relax in passes:
             order = rng.permutation(n)
             for start in range(0, n, BLOCK):
                 block = order[start : start + BLOCK]
