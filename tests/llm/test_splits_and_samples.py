@@ -60,6 +60,33 @@ def test_kept_state_and_conflicting_merge(spark):
     assert again["a"] == again["d"] == "quarantined"
 
 
+def test_component_table_outlives_the_run(spark, tmp_path):
+    from tidemark.session import Kept
+
+    listed = S.deployments_table(dev(spark), groups(spark)).cache()
+    timed = lambda rows: spark.createDataFrame([(k, s, sp, g, t, "clash", 1) for k, s, sp, g, t in rows], CROPS)
+    kept = Kept(spark, f"file://{tmp_path}/components")
+    first = S.advance(spark, kept, timed([(f"a{i}", "ozfish", None, f"N{i}", None) for i in range(200)] + [("x", "ozfish", "lock", "OLD1", None)]), listed, S.TARGETS)
+    one = {r["entity"]: r["split"] for r in first.collect()}
+    assert one["ozfish|old1"] == "lock" and None not in one.values()
+    second = S.advance(spark, kept, timed([("y", "ozfish", None, "OLD1", None), ("z", "ozfish", "dev", "OLD1 ", None), ("w", "ozfish", None, "NEW1", None)]), listed, S.TARGETS)
+    two = {r["entity"]: r for r in second.collect()}
+    assert {e: two[e]["split"] for e in one if e != "ozfish|old1"} == {e: s for e, s in one.items() if e != "ozfish|old1"}
+    assert two["ozfish|old1"]["status"] == "quarantined" and two["ozfish|old1"]["weight"] == 3 and two["ozfish|new1"]["split"]
+    third = {r["entity"]: (r["split"], r["status"] == "quarantined") for r in S.advance(spark, kept, timed([]), listed, S.TARGETS).collect()}
+    assert third == {e: (r["split"], r["status"] == "quarantined") for e, r in two.items()} and kept.versions() == [1, 2, 3]
+
+
+def test_long_chains_of_links_merge_over_runs(spark):
+    """Links that arrive over three runs and make one chain of 60: pointer jumping over the kept table."""
+    claim = lambda *e: spark.createDataFrame([(x, c) for x, c in e], "entity string, claimed array<string>")
+    state = None
+    for run in range(3):
+        links = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(run, 59, 3)], "a string, b string")
+        state = S.merge_state(spark, state, claim(*((f"c{i:02d}", ["dev"] if i == 30 else []) for i in range(60))), links)
+    assert {(r["component"], r["split"], r["status"]) for r in state.collect()} == {("c00", "dev", "kept")}
+
+
 def test_empty_split_tables(spark):
     empty = crops(spark, [])
     assert S.conflicting(spark, empty, dev(spark, []), groups(spark).filter("false")).count() == 0

@@ -103,6 +103,20 @@ def p4_assign(spark: SparkSession, sf: str) -> DataFrame:
     return splits.assign(spark, table(spark, sf, "split_crops"), table(spark, sf, "dev_deployments"), table(spark, sf, "fn_dev_groups"))
 
 
+@query(
+    "p4_components",
+    f"""WITH named AS (SELECT DISTINCT source, deployment FROM fn_dev_groups WHERE derived_level = 'cruise'), cruises AS (SELECT DISTINCT source, {PLACE_SQL.format('deployment')} k FROM named),
+crops AS (SELECT {SOURCE_SQL.format('source')} source, {PLACE_SQL.format('grp')} k, {PLACE_SQL.format("regexp_extract(trim(grp), '^([^:/|]*[:/|][^:/|]*)[:/|]', 1)")} head, lower(trim(split, ' \t\n')) split, count(*) n FROM split_crops GROUP BY ALL),
+e AS (SELECT p.source || '|' || p.k entity, coalesce(c.source || '|' || c.k, p.source || '|' || p.k) own, CASE WHEN split IN ('train', 'dev', 'lock') THEN split END split, n FROM crops p LEFT JOIN cruises c ON c.source = p.source AND c.k = p.head WHERE p.k <> '' AND p.source IS NOT NULL),
+x AS (FROM e UNION ALL SELECT own, own, NULL, 0 FROM e), w AS (SELECT own, entity, sum(n) weight FROM x GROUP BY ALL), j AS (SELECT own, min(entity) component, count(DISTINCT split) c, any_value(split) split FROM x GROUP BY own)
+SELECT entity, component, CASE WHEN c = 1 THEN split END AS split, CASE WHEN c > 1 THEN 'quarantined' WHEN c = 1 THEN 'kept' ELSE 'new' END AS status, weight::BIGINT AS weight FROM w JOIN j USING (own)""",
+)
+def p4_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept component table after two runs, before new components get a split."""
+    listed = Scratch(spark, "deployments").save(splits.deployments_table(table(spark, sf, "dev_deployments"), table(spark, sf, "fn_dev_groups")), "listed")
+    return splits.in_two_runs(spark, table(spark, sf, "split_crops"), listed)
+
+
 # 7. samples
 NAME_SQL = r"replace(regexp_replace(lower(trim({0}, ' \t\n')), '\.(jpe?g|png)$', ''), '_', '-')"
 

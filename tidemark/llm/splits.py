@@ -1,9 +1,10 @@
 """Splits that keep related records together.
 
-A component table is kept from run to run: entity, component, split.  New links
-merge components by hooking and pointer jumping; a component that already has a
-split keeps it, new ones fill what each split lacks, and a merge of components
-with different splits is quarantined instead of moving records.
+A component table is kept from run to run in a named folder: entity, component,
+split, status, weight.  A run reads only its new rows: new links merge components
+by hooking and pointer jumping; a component that already has a split keeps it,
+new ones fill what each split lacks, and a merge of components with different
+splits is quarantined instead of moving records.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import place_key, source_name
 from tidemark.operators.graph import components
 from tidemark.operators.joins import lookup_join
-from tidemark.session import Scratch
+from tidemark.session import Kept, Scratch
 
 TARGETS = {"train": 0.7, "dev": 0.15, "lock": 0.15}
 HEAVY = 0.005  # a component above this share of all weight is placed on its own, largest first
@@ -122,27 +123,54 @@ def crop_entities(crops: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataF
     return spelled, links
 
 
-def current_state(spark: SparkSession, crops: DataFrame, dev: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(state, spelled, listed) of split_crops as it stands: kept, new and quarantined components of deployments."""
-    scratch = Scratch(spark, "deployments")
-    listed = scratch.save(deployments_table(dev, groups), "listed")
+def advance(spark: SparkSession, kept: Kept, crops: DataFrame, listed: DataFrame, targets: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """The kept component table (entity, component, split, status, weight) after the crops of one more run, written as its next version.
+
+    crops are the run's new rows only.  With targets, new components get a split,
+    which the next run keeps; without, only the splits that rows carry count.
+    """
+    scratch = Scratch(spark, "run")
+    old = kept.load()
+    old = spark.createDataFrame([], STATE + ", weight long") if old is None else old
     spelled, links = crop_entities(crops, listed)
     spelled = scratch.save(spelled, "spelled")
     links = scratch.save(links, "links")
     # a cruise that no crop names belongs to its dives' component all the same
-    named = spelled.filter("entity is not null").select("entity", "claimed").unionByName(links.select(F.col("b").alias("entity"), F.array().cast("array<string>").alias("claimed")))
-    per = named.groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"))  # at most 8 distinct sets of splits
-    return merge_state(spark, None, per, links), spelled, listed
+    cruises = links.select(F.col("b").alias("entity"), F.array().cast("array<string>").alias("claimed"), F.lit(0).cast("long").alias("weight"))
+    named = spelled.filter("entity is not null").select("entity", "claimed", "weight").unionByName(cruises)
+    per = named.groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"), F.sum("weight").alias("weight"))  # at most 8 distinct sets of splits
+    per = scratch.save(per, "entities")
+    state = merge_state(spark, old.drop("weight"), per.select("entity", "claimed"), links)
+    weights = old.select("entity", "weight").unionByName(per.select("entity", "weight")).groupBy("entity").agg(F.sum("weight").alias("weight"))
+    if targets:
+        state = fill_new(spark, state, weights, targets, seed)
+    return kept.save(state.join(weights, "entity", "left").select("entity", "component", "split", "status", F.coalesce("weight", F.lit(0).cast("long")).alias("weight")))
+
+
+def in_two_runs(spark: SparkSession, crops: DataFrame, listed: DataFrame, path: str | None = None, targets: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """The component table after a run with the crops added in the first half of the time and one with the rest.
+
+    Rows without a time are in the first run.  The table lies in the folder
+    ``path``, by default one of this run's own.
+    """
+    kept = Kept(spark, path or Scratch(spark, "components").path("kept"))
+    added = F.unix_micros(F.col("added_at").cast("timestamp"))
+    ends = crops.agg(F.min(added).alias("a"), F.max(added).alias("b")).head()
+    middle = F.lit(None).cast("long") if ends["a"] is None else F.lit((ends["a"] + ends["b"]) // 2)
+    late = F.coalesce(added > middle, F.lit(False))
+    advance(spark, kept, crops.filter(~late), listed, targets, seed)
+    return advance(spark, kept, crops.filter(late), listed, targets, seed)
 
 
 def conflicting(spark: SparkSession, crops: DataFrame, dev: DataFrame, groups: DataFrame) -> DataFrame:
     """(source, deployment): the listed deployments whose crops lie in more than one split, a cruise for its dives.
 
-    These are the quarantined components.  Rows without grp or without one of
+    These are the quarantined components of the kept table after two runs.  Rows without grp or without one of
     the three splits are unassigned and do not count; groups that no deployment
     table lists are not reported; empty tables give no row.
     """
-    state, _, listed = current_state(spark, crops, dev, groups)
+    listed = Scratch(spark, "deployments").save(deployments_table(dev, groups), "listed")
+    state = in_two_runs(spark, crops, listed)
     names = listed.select(F.concat_ws("|", "source", "key").alias("entity"), "source", "deployment", "cruise")
     bad = state.filter("status = 'quarantined'").select("entity", "component").distinct()
     cruises = bad.join(names.filter("cruise"), "entity").select("component", "source", "deployment")
@@ -150,15 +178,15 @@ def conflicting(spark: SparkSession, crops: DataFrame, dev: DataFrame, groups: D
     return cruises.select("source", "deployment").unionByName(others.select("source", "deployment")).distinct()
 
 
-def assign(spark: SparkSession, crops: DataFrame, dev: DataFrame, groups: DataFrame, targets: dict[str, float] = TARGETS, seed: int = 0) -> DataFrame:
-    """(crop_key, source, component, split, status) for every distinct crop row.
+def assign(spark: SparkSession, crops: DataFrame, dev: DataFrame, groups: DataFrame, targets: dict[str, float] = TARGETS, seed: int = 0, path: str | None = None) -> DataFrame:
+    """(crop_key, source, component, split, status) for every distinct crop row, after two runs.
 
     Crops without a group are status ungrouped and have no split; those of
     quarantined components have none until the conflict is resolved.
     """
-    state, spelled, _ = current_state(spark, crops, dev, groups)
-    weights = spelled.filter("entity is not null").groupBy("entity").agg(F.sum("weight").alias("weight"))
-    full = fill_new(spark, state, weights, targets, seed)
+    listed = Scratch(spark, "deployments").save(deployments_table(dev, groups), "listed")
+    full = in_two_runs(spark, crops, listed, path, targets, seed).drop("weight")
+    spelled, _ = crop_entities(crops, listed)
     lookup = spelled.join(full, "entity", "left").select(F.coalesce("s", F.lit("")).alias("s"), F.coalesce("grp", F.lit("")).alias("g"), "component", "split", F.coalesce("status", F.lit("ungrouped")).alias("status"))
     lookup = Scratch(spark, "lookup").save(lookup.groupBy("s", "g").agg(F.min("component").alias("component"), F.min("split").alias("split"), F.min("status").alias("status")), "lookup")
     rows = crops.select("crop_key", F.coalesce(source_name("source"), F.lit("")).alias("s"), F.coalesce("grp", F.lit("")).alias("g")).distinct()
