@@ -53,8 +53,8 @@ def test_wrong_sizes(spark):
     assert got == [("cmp", 2, "ozfish", "ann_bbox"), ("none", 2, "ozfish", "ann_bbox")]
 
 
-def test_open_groups_are_recomputed(spark):
-    # a tiny sketch leaves the bounds wide, so the values decide
+def test_open_groups_get_larger_sketches(spark):
+    # a tiny sketch leaves the bounds wide, so larger ones decide
     rec = records(spark, 4000)
     median = float(np.median([20 + i for i in range(4000)]))
     near, far = int(median * 1.19), int(median * 1.22)
@@ -66,3 +66,18 @@ def test_open_groups_are_recomputed(spark):
 def test_empty_tables(spark):
     assert crop_sizes.wrong_sizes(spark, records(spark).filter("false"), published(spark, [])).count() == 0
     assert crop_sizes.measurements(records(spark).withColumn("definition", F.lit(1)).withColumn("side", F.lit(2))).count() > 0
+
+
+def test_groups_open_to_the_last_are_decided_by_the_value(spark, monkeypatch):
+    monkeypatch.setattr(crop_sizes, "LAST_K", 64)
+    rec = records(spark, 4000)
+    median = float(np.median([20 + i for i in range(4000)]))
+    table = published(spark, [("cmp", 3, "ozfish", "shard_native", None, int(median * 1.3), None, 1), ("cmp", 3, "ozfish", "ann_bbox", None, int(median * 1.02), None, 1)])
+    assert [tuple(r) for r in crop_sizes.wrong_sizes(spark, rec, table, k=16).collect()] == [("cmp", 3, "ozfish", "shard_native")]
+
+
+def test_compacted_sketches_keep_to_their_rank_error(spark):
+    got = crop_sizes.rank_errors(spark, records(spark, 3000), 64).collect()
+    assert len(got) == 6 and all(r["p10"] and r["median"] and r["p90"] for r in got)
+    sizes = crop_sizes.sketches_per_build(spark, records(spark, 3000), 64).select("n", F.size("levels").alias("levels"), F.aggregate("levels", F.lit(0), lambda a, x: a + F.size(x)).alias("held")).collect()
+    assert all(r["levels"] > 1 and r["held"] < r["n"] / 3 for r in sizes)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import source_name
-from tidemark.llm.quantiles import K, build_sketches, merge_sketches, percentiles
+from tidemark.llm.quantiles import K, build_sketches, merge_sketches, percentiles, rank_error
+from tidemark.operators.joins import lookup_join
 from tidemark.session import Scratch
 
 KEYS = ["campaign", "source", "definition", "build_no"]
+FIRST_K, GROW, LAST_K = 512, 8, 1 << 20  # of the sketches that judge published sizes
 SHARES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
 
@@ -30,9 +32,16 @@ def measurements(records: DataFrame) -> DataFrame:
     return both.filter(F.col("side").isNotNull())
 
 
-def sketches_per_build(spark: SparkSession, records: DataFrame, k: int = K) -> DataFrame:
-    """The kept partial results: one sketch per campaign, source, definition and build, written to the shared folder."""
-    partials = build_sketches(measurements(records), KEYS, "side", k)
+def sketches_per_build(spark: SparkSession, records: DataFrame, k: int = K, wanted: DataFrame | None = None) -> DataFrame:
+    """The kept partial results: one sketch per campaign, source, definition and build, written to the shared folder.
+
+    wanted restricts them to the campaigns, sources and definitions it names.
+    """
+    sides = measurements(records)
+    if wanted is not None:
+        groups = ["campaign", "source", "definition"]
+        sides = lookup_join(sides, wanted.select(*groups).distinct(), groups, "left_semi")
+    partials = build_sketches(sides, KEYS, "side", k)
     return Scratch(spark, "sketches").save(merge_sketches(partials, KEYS, k), "builds")
 
 
@@ -46,43 +55,62 @@ def up_to_build(builds: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
     return percentiles(merge_sketches(parts.drop("b"), KEYS, k), KEYS, SHARES, k)
 
 
-def exact(records: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The same groups from the values themselves (a check for groups that a sketch leaves open)."""
-    values = measurements(records).withColumnRenamed("build_no", "b")
-    rows = values.join(wanted.select(*KEYS).distinct(), ["campaign", "source", "definition"]).filter(F.col("b") <= F.col("build_no"))
-    return rows.groupBy(*KEYS).agg(*[F.percentile("side", F.lit(q)).alias(f"{x}_exact") for x, q in SHARES.items()])
-
-
-def wrong_sizes(spark: SparkSession, records: DataFrame, published: DataFrame, tolerance: float = 0.2, k: int = K) -> DataFrame:
+def wrong_sizes(spark: SparkSession, records: DataFrame, published: DataFrame, tolerance: float = 0.2, k: int = FIRST_K) -> DataFrame:
     """Published groups of which a percentile differs by more than the tolerance from the recomputed one.
 
-    The sketch decides where both of its rank bounds agree; only groups whose
-    bounds straddle the tolerance are recomputed from the values.  A published
-    null counts as no statement, a group without measurements as wrong only if
-    it states a number.
+    A sketch decides where both of its rank bounds agree.  Groups whose bounds
+    straddle the tolerance are sketched again with GROW times the k, up to
+    LAST_K (rank error 8.5e-6), where the value itself decides; a sketch that
+    never compacted is exact.  A published null counts as no statement, a group
+    without measurements as wrong only if it states a number.
     """
-    stated = published.withColumn("source", source_name("source")).select(*KEYS, *SHARES)
-    got = up_to_build(sketches_per_build(spark, records, k), stated, k).drop("n")
+    stated = published.withColumn("source", source_name("source")).select(*KEYS, *SHARES).distinct()
+    wrong, open_ = None, stated
+    while True:
+        got = up_to_build(sketches_per_build(spark, records, k, None if wrong is None else open_), open_, k).drop("n")
+        judged = Scratch(spark, "judged").save(_judged(open_, got, tolerance, k >= LAST_K), "groups")
+        bad = judged.filter("wrong").select(*KEYS)
+        wrong = bad if wrong is None else wrong.unionByName(bad)
+        open_ = judged.filter(F.col("wrong").isNull()).select(*KEYS, *SHARES)
+        if k >= LAST_K or not open_.limit(1).count():
+            return wrong.select("campaign", "build_no", "source", "definition").distinct()
+        k = min(LAST_K, GROW * k)
+
+
+def _judged(stated: DataFrame, got: DataFrame, tolerance: float, last: bool) -> DataFrame:
+    """stated with wrong: true, false, or null where the bounds leave it open."""
     for x in SHARES:
         got = got.withColumnRenamed(x, f"{x}_is")
+
     def off(x, c):
         return F.abs(F.col(x) - c) > F.lit(tolerance) * c
+
     both = stated.join(got, KEYS, "left")
-    surely, maybe = F.lit(False), F.lit(False)
+    surely, maybe, point = F.lit(False), F.lit(False), F.lit(False)
     for x in SHARES:
         low, high = F.col(f"{x}_low"), F.col(f"{x}_high")
         a, b = off(x, low), off(x, high)
         same_side = F.signum(F.col(x) - low) == F.signum(F.col(x) - high)
-        surely |= F.coalesce(a & b & same_side, F.col(x).isNotNull() & F.col(f"{x}_is").isNull())
+        missing = F.col(x).isNotNull() & F.col(f"{x}_is").isNull()
+        surely |= F.coalesce(a & b & same_side, missing)
         maybe |= F.coalesce(a | b, F.lit(False))
-    judged = both.withColumn("wrong", F.when(surely, F.lit(True)).when(~maybe, F.lit(False)))
-    judged = Scratch(spark, "judged").save(judged.select(*KEYS, *SHARES, "wrong"), "groups")
-    open_ = judged.filter(F.col("wrong").isNull())
-    settled = judged.filter("wrong")
-    if open_.limit(1).count():
-        checked = open_.join(exact(records, open_), KEYS)
-        bad = F.lit(False)
-        for x in SHARES:
-            bad |= F.coalesce(off(x, F.col(f"{x}_exact")), F.lit(False))
-        settled = settled.unionByName(checked.filter(bad).select(*settled.columns))
-    return settled.select("campaign", "build_no", "source", "definition").distinct()
+        point |= F.coalesce(off(x, F.col(f"{x}_is")), missing)
+    wrong = point if last else F.when(surely, F.lit(True)).when(~maybe, F.lit(False))
+    return both.select(*KEYS, *SHARES, wrong.alias("wrong"))
+
+
+def rank_errors(spark: SparkSession, records: DataFrame, k: int) -> DataFrame:
+    """campaign, source, definition, build_no, n and, for each percentile, whether its rank is within twice the stated error.
+
+    The sketches of the builds are merged as for ``up_to_build``; the ranks come
+    from counts over the values.
+    """
+    builds = sketches_per_build(spark, records, k)
+    got = Scratch(spark, "got").save(up_to_build(builds, builds, k).select(*KEYS, "n", *SHARES), "percentiles")
+    values = measurements(records).groupBy("campaign", "source", "definition", F.col("build_no").alias("b"), "side").agg(F.count("*").alias("c"))
+    met = values.join(got, ["campaign", "source", "definition"]).filter(F.col("b") <= F.col("build_no"))
+    sums = [F.sum(F.when(F.col("side") < F.col(x), F.col("c")).otherwise(0)).alias(f"{x}_less") for x in SHARES] + [F.sum(F.when(F.col("side") <= F.col(x), F.col("c")).otherwise(0)).alias(f"{x}_upto") for x in SHARES]
+    ranks = met.groupBy(*KEYS, "n").agg(*sums)
+    room = F.lit(2 * rank_error(k)) * F.col("n") + 1
+    within = [((F.col(f"{x}_less") <= q * F.col("n") + room) & (F.col(f"{x}_upto") >= q * F.col("n") - room)).alias(x) for x, q in SHARES.items()]
+    return ranks.select(*KEYS, "n", *within)

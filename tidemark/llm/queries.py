@@ -58,6 +58,16 @@ def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return crop_sizes.up_to_build(builds, builds).select("campaign", "source", "definition", "build_no", "n", "p10", "median", "p90")
 
 
+@query(
+    "p3_rank_error",
+    f"""WITH {SIDES_SQL}, g AS (SELECT DISTINCT campaign, source, definition, build_no FROM sides)
+SELECT g.campaign, g.source, g.definition, g.build_no, count(*) n, true p10, true median, true p90 FROM g JOIN sides d ON d.campaign = g.campaign AND d.source = g.source AND d.definition = g.definition AND d.build_no <= g.build_no GROUP BY ALL""",
+)
+def p3_rank_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether merged sketches of k = 64, which nearly all compact, keep to their rank error."""
+    return crop_sizes.rank_errors(spark, table(spark, sf, "shard_records"), 64)
+
+
 # 6. groups of matches
 URL_SQL = "concat(lower(regexp_extract({0}, '^([^/]*)', 1)), regexp_extract({0}, '^[^/]*(.*)$', 1))"
 BARE_SQL = "url_decode(replace(regexp_replace(trim({0}, ' \t\n\r'), '^https?://', '', 'i'), '+', '%2B'))"
