@@ -101,3 +101,32 @@ def test_every_chain_above_the_prior_is_inverted(model, part):
     odds[wrong], odds[c] = G.PRIOR + 9, G.PRIOR + 1
     text, used, garbled = G.restore_segment(model, bad, odds)
     assert garbled and text == right and used == "cp1251>cp1252" + " in part" * part
+
+
+def test_counts_are_those_of_all_documents(spark):
+    """A letter that only part of the documents has, none of them in the sample, is known; a garbled text that is copied a thousand times is not."""
+    import numpy as np
+
+    bad = "La caméra a touché le fond près de Míra.".encode().decode("cp1252", "ignore")
+    rows = [(i, correct(i)[0], "en", "") for i in range(600)] + [(5000 + i, bad, "fr", "") for i in range(1000)] + [(9000, None, None, None), (9001, "", None, None)]
+    documents = spark.createDataFrame(rows, DOCS).repartition(5)
+    counts = G.count_corpus(documents)
+    local = G.count_texts([t for _, t, _, _ in rows if t])
+    assert counts.common == local.common and counts.lines == local.lines and (counts.known == local.known).all() and np.allclose(counts.rate, local.rate, atol=1e-3)
+    found = {r["doc_id"] for r in G.restore(spark, documents, G.train([t for _, t, _, _ in rows[:300]], None, counts)).collect()}
+    assert {5000 + i for i in range(1000)} <= found and len(found) <= 1006
+
+
+def test_one_garbled_word_in_a_sentence_is_found(model):
+    """Few characters tell little to the classifier; that they pair as in no correct text does."""
+    done = found = 0
+    for i in range(8000, 8300):
+        text = correct(i)[0]
+        words = text.split(" ")
+        odd = [k for k, w in enumerate(words) if sum(not c.isascii() for c in w) > 1]
+        if odd:
+            rng = random.Random(i)
+            k, read = rng.choice(odd), rng.choice(["cp1252", "mac_roman", "cp437"])
+            words[k] = words[k].encode().decode(read, "ignore")
+            done, found = done + 1, found + G.restore_text(model, " ".join(words))[2]
+    assert done > 100 and found >= 0.97 * done

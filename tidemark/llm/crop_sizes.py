@@ -11,15 +11,17 @@ from tidemark.operators.joins import lookup_join
 from tidemark.session import Scratch
 
 KEYS = ["campaign", "source", "definition", "build_no"]
+GROUP = KEYS[:3]
 FIRST_K, GROW, LAST_K = 512, 8, 1 << 20  # of the sketches that judge published sizes
 SHARES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
 
-def measurements(records: DataFrame) -> DataFrame:
+def measurements(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """campaign, source, definition, build_no, side: the shorter side of each crop and of each box, each crop_key once.
 
     A null, NaN or non-positive side is no measurement; a box has four numbers.
-    Rows without a crop_key count as they stand.
+    Rows without a crop_key count as they stand.  wanted restricts them to the
+    campaigns, sources and definitions it names, before anything is shuffled.
     """
     w, h = F.try_element_at("bbox", F.lit(3)), F.try_element_at("bbox", F.lit(4))
     def shorter(a, b):
@@ -27,8 +29,12 @@ def measurements(records: DataFrame) -> DataFrame:
     sides = records.select(
         "crop_key", "campaign", source_name("source").alias("source"), "build_no", shorter(F.col("native_width"), F.col("native_height")).alias("shard_native"), shorter(w, h).alias("ann_bbox")
     )
+    if wanted is not None:
+        sides = lookup_join(sides, wanted.select("campaign", "source").distinct(), ["campaign", "source"], "left_semi")
     once = sides.filter(F.col("crop_key").isNotNull()).dropDuplicates(["crop_key"]).unionByName(sides.filter(F.col("crop_key").isNull()))
     both = once.select("campaign", "source", "build_no", F.expr("stack(2, 'shard_native', shard_native, 'ann_bbox', ann_bbox) as (definition, side)"))
+    if wanted is not None:
+        both = lookup_join(both, wanted.select(*GROUP).distinct(), GROUP, "left_semi")
     return both.filter(F.col("side").isNotNull())
 
 
@@ -37,11 +43,7 @@ def sketches_per_build(spark: SparkSession, records: DataFrame, k: int = K, want
 
     wanted restricts them to the campaigns, sources and definitions it names.
     """
-    sides = measurements(records)
-    if wanted is not None:
-        groups = ["campaign", "source", "definition"]
-        sides = lookup_join(sides, wanted.select(*groups).distinct(), groups, "left_semi")
-    partials = build_sketches(sides, KEYS, "side", k)
+    partials = build_sketches(measurements(records, wanted), KEYS, "side", k)
     return Scratch(spark, "sketches").save(merge_sketches(partials, KEYS, k), "builds")
 
 
@@ -60,15 +62,15 @@ def wrong_sizes(spark: SparkSession, records: DataFrame, published: DataFrame, t
 
     A sketch decides where both of its rank bounds agree.  Groups whose bounds
     straddle the tolerance are sketched again with GROW times the k, up to
-    LAST_K (rank error 8.5e-6), where the value itself decides; a sketch that
-    never compacted is exact.  A published null counts as no statement, a group
+    LAST_K (rank error 8.5e-6), where the value itself decides; so it does in a
+    sketch that never compacted, which is exact.  A published null counts as no statement, a group
     without measurements as wrong only if it states a number.
     """
     stated = published.withColumn("source", source_name("source")).select(*KEYS, *SHARES).distinct()
     wrong, open_ = None, stated
     while True:
-        got = up_to_build(sketches_per_build(spark, records, k, None if wrong is None else open_), open_, k).drop("n")
-        judged = Scratch(spark, "judged").save(_judged(open_, got, tolerance, k >= LAST_K), "groups")
+        got = up_to_build(sketches_per_build(spark, records, k, None if wrong is None else open_), open_, k)
+        judged = Scratch(spark, "judged").save(_judged(open_, got, tolerance, k), "groups")
         bad = judged.filter("wrong").select(*KEYS)
         wrong = bad if wrong is None else wrong.unionByName(bad)
         open_ = judged.filter(F.col("wrong").isNull()).select(*KEYS, *SHARES)
@@ -77,7 +79,7 @@ def wrong_sizes(spark: SparkSession, records: DataFrame, published: DataFrame, t
         k = min(LAST_K, GROW * k)
 
 
-def _judged(stated: DataFrame, got: DataFrame, tolerance: float, last: bool) -> DataFrame:
+def _judged(stated: DataFrame, got: DataFrame, tolerance: float, k: int) -> DataFrame:
     """stated with wrong: true, false, or null where the bounds leave it open."""
     for x in SHARES:
         got = got.withColumnRenamed(x, f"{x}_is")
@@ -95,7 +97,7 @@ def _judged(stated: DataFrame, got: DataFrame, tolerance: float, last: bool) ->
         surely |= F.coalesce(a & b & same_side, missing)
         maybe |= F.coalesce(a | b, F.lit(False))
         point |= F.coalesce(off(x, F.col(f"{x}_is")), missing)
-    wrong = point if last else F.when(surely, F.lit(True)).when(~maybe, F.lit(False))
+    wrong = F.when(surely, F.lit(True)).when(~maybe, F.lit(False)).when(F.lit(k >= LAST_K) | (F.col("n") <= k), point)
     return both.select(*KEYS, *SHARES, wrong.alias("wrong"))
 
 
