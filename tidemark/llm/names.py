@@ -2,8 +2,9 @@
 
 Method: distinct tokens of the typed names are joined to the list's vocabulary
 by edit distance (equal deletion variants propose, the distance decides); the
-repaired tokens are then combined by soft TF-IDF to rank complete entries, and
-an entry counts only if all its own words are covered.
+repaired tokens are then combined by soft TF-IDF to rank complete entries.  An
+entry counts if each of its words is borne out and its score, the cosine with
+what was typed, reaches CUT.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ QUALIFIERS = frozenset(
     "sp spp ssp cf aff indet unid unidentified undet nr near juv juvenile juveniles adult adults male female m f distant far close school shoal group of pair several many few possible possibly probable probably maybe likely unsure gen nov var det "
     "species genus family fam ord large small big on in the at left right edge view blurred partial partly hidden and et al ex".split()
 )
-LONGEST = 48  # letters of a token that may have typing errors
+CUT = 0.8  # least cosine of a typed name and its entry
+BORNE = 0.6  # similarity of a genus that only its initial or the genus column bears out
+TRAILING = 0.01  # share that a further word has in the weight of a name whose species is complete (authors, places)
 MIN_PREFIX = 4  # letters that a cut-off epithet must show
 
 
@@ -40,8 +43,8 @@ def fold(text: str) -> str:
 
 
 def edits(length: int) -> int:
-    """Edit distance allowed for a token of this length; beyond LONGEST only the token itself matches."""
-    return 0 if length < 5 or length > LONGEST else 1 if length < 7 else 2
+    """Edit distance allowed for a token of this length."""
+    return 0 if length < 5 else 1 if length < 7 else 2
 
 
 def variants(token: str) -> set[str]:
@@ -96,12 +99,6 @@ def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["name_id", "pos", "token", "initial", "content", "hint"])
 
 
-def _delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(t, xxhash.xxh64_intdigest(v) - (1 << 63)) for t in frame["token"] for v in variants(t)]
-        yield pd.DataFrame(rows, columns=["token", "variant"])
-
-
 def entry_words(reference: DataFrame) -> DataFrame:
     """(form, aphia_id, kind, slot, word, n_words, head): each entry's words, of its name and of its vernacular.
 
@@ -132,13 +129,22 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     no pair within the distance is lost and no cross join is formed.
     """
     schema = "token string, variant long"  # hashed: the distance decides in any case
-    left = tokens.select("token").mapInPandas(_delete, schema)
-    right = vocabulary.select(F.col("word").alias("token")).mapInPandas(_delete, schema).withColumnRenamed("token", "word")
+    # a token longer than every word by more than the distance is within it of none
+    longest = (vocabulary.agg(F.max(F.length("word"))).head()[0] or 0) + edits(99)
+
+    def delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(t, xxhash.xxh64_intdigest(v) - (1 << 63)) for t in frame["token"] for v in (variants(t) if len(t) <= longest else (t,))]
+            yield pd.DataFrame(rows, columns=["token", "variant"])
+
+    tasks = 2 * tokens.sparkSession.sparkContext.defaultParallelism  # a row gives hundreds of variants, so tasks follow the cores
+    left = tokens.select("token").repartition(tasks, "token").mapInPandas(delete, schema)
+    right = vocabulary.select(F.col("word").alias("token")).repartition(tasks, "token").mapInPandas(delete, schema).withColumnRenamed("token", "word")
     near = left.join(right, "variant").select("token", "word").distinct()
     far = F.levenshtein("token", "word")
     longer = F.greatest(F.length("token"), F.length("word"))
-    allowed = F.when((longer < 5) | (longer > LONGEST), 0).when(longer < 7, 1).otherwise(2)
-    close = near.filter(far <= allowed).select("token", "word", (1 - far / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
+    allowed = F.when(longer < 5, 0).when(longer < 7, 1).otherwise(2)
+    close = near.filter(far <= allowed).select("token", "word", (1 - far / longer).alias("sim"))
     heads = vocabulary.filter(F.length("word") > MIN_PREFIX).select("word", F.explode(F.transform(F.sequence(F.lit(MIN_PREFIX), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token"))
     cut = tokens.select("token").join(heads, "token").select("token", "word", (F.lit(0.5) + F.length("token") / F.length("word") / 4).alias("sim"))
     return close.unionByName(cut).groupBy("token", "word").agg(F.max("sim").alias("sim"))
@@ -147,12 +153,13 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def map_names(spark: SparkSession, typed: DataFrame, reference: DataFrame) -> DataFrame:
     """(map_id, aphia_id, valid_name, score, status) for each map_id of typed without aphia_id.
 
-    The name is proposed_name, or genus and species where that is missing.  A
-    species needs its epithet and its genus (or the genus initial, or the genus
-    column); a genus, a family or a vernacular needs that nothing else but
-    qualifiers and authors is left; otherwise, as for no name at all, aphia_id
-    is 0 and status ``unmatched``.  Ties go to the smaller aphia_id.  Repeats
-    of a map_id count once, a null map_id is left out; empty tables give no row.
+    The name is proposed_name, or genus and species where that is missing.  Every
+    word of an entry must be borne out by a typed word of its own, the genus of a
+    species also by its initial or the genus column; typed words that no word of
+    the entry explains weigh against it.  Below CUT, as for no name at all,
+    aphia_id is 0 and status ``unmatched``.  Ties go to the smaller aphia_id.
+    Repeats of a map_id count once, a null map_id is left out; empty tables give
+    no row.
     """
     scratch = Scratch(spark, "names")
     todo = typed.filter("aphia_id is null and map_id is not null").groupBy("map_id").agg(F.min(F.struct("proposed_name", "genus", "species")).alias("n")).select("map_id", "n.*")
@@ -168,30 +175,37 @@ def map_names(spark: SparkSession, typed: DataFrame, reference: DataFrame) -> Da
     postings = forms.join(weights, "word")
     norms = postings.groupBy("form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("form_norm"))
     unknown = math.log(1 + n_forms)
-    hit = tokens.join(repaired, "token").join(postings, "word")
+    evidence = tokens.join(repaired, "token").withColumn("cut", F.length("word") - F.length("token") > 2)
     # a cut-off token may stand for an epithet only; a torn word for a joined form only
-    hit = hit.filter((F.col("pos") < 99) | (F.col("kind") == "joined"))
-    cut = F.length("word") - F.length("token") > 2
-    hit = hit.filter(~cut | ((F.col("kind") == "Species") & (F.col("slot") > 0)))
-    best = hit.groupBy("name_id", "form", "slot").agg(F.max(F.struct("sim", "idf", "pos")).alias("b"), *[F.first(c).alias(c) for c in ("aphia_id", "kind", "n_words", "head", "initial", "content", "hint")])
+    may = ((F.col("pos") < 99) | (F.col("kind") == "joined")) & (~F.col("cut") | ((F.col("kind") == "Species") & (F.col("slot") > 0)))
+    # an entry is met through the rarest of the words that it cannot do without, so a common genus brings no list of species
+    needed = postings.filter((F.col("kind") != "Species") | (F.col("n_words") == 1) | (F.col("slot") > 0))
+    anchors = needed.withColumn("rn", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("idf"), "slot"))).filter("rn = 1").drop("rn")
+    met = evidence.join(anchors.select("form", "word", "kind", "slot"), "word").filter(may).select("name_id", "form").distinct()
+    hit = met.join(postings, "form").join(evidence, ["name_id", "word"]).filter(may)
+    near = -F.abs(F.col("pos") - F.col("slot"))
+    best = hit.groupBy("name_id", "form", "slot").agg(F.max(F.struct("sim", "idf", near.alias("near"), "pos")).alias("b"), *[F.first(c).alias(c) for c in ("aphia_id", "kind", "n_words", "head", "initial", "content", "hint")])
+    square = F.col("b.idf") * F.col("b.idf")
     scored = best.groupBy("name_id", "form").agg(
         *[F.first(c).alias(c) for c in ("aphia_id", "kind", "n_words", "head", "initial", "content", "hint")],
-        F.count("*").alias("covered"), F.count_distinct("b.pos").alias("used"), F.max(F.when(F.col("slot") == 0, 1).otherwise(0)).alias("has_head"), F.sum(F.col("b.sim") * F.col("b.idf") * F.col("b.idf")).alias("dot"), F.sum(F.col("b.idf") * F.col("b.idf")).alias("own"), F.min("b.sim").alias("least"),
-    )
+        F.count("*").alias("covered"), F.sum(F.when(F.col("b.pos") == 99, 2).otherwise(1)).alias("words"), F.count_distinct("b.pos").alias("used"), F.max(F.when(F.col("slot") == 0, 1).otherwise(0)).alias("has_head"),
+        F.sum(F.col("b.sim") * square).alias("dot"), F.sum(F.col("b.sim") * F.col("b.sim") * square).alias("own"), F.min("b.sim").alias("least"),
+    )
     genus_hint = repaired.select(F.col("token").alias("hint"), F.col("word").alias("head"), F.lit(True).alias("hinted"))
-    scored = scored.join(genus_hint, ["hint", "head"], "left")
-    extra = F.greatest(F.col("content") - F.col("used"), F.lit(0))
-    whole = F.col("covered") == F.col("n_words")
-    by_initial = (F.col("initial") != "") & F.col("head").startswith(F.col("initial")) & (F.col("initial") != "")
-    # without its genus an epithet must be the only word left, and the genus come from the initial or the column
-    lone = (F.col("covered") == F.col("n_words") - 1) & (F.col("has_head") == 0) & (F.col("content") <= F.col("used")) & (by_initial | (F.col("initial") == "") & F.coalesce("hinted", F.lit(False)))
-    species = (F.col("kind") == "Species") & (F.col("n_words") > 1) & (whole & (F.col("used") == F.col("n_words")) | lone)
-    joined = (F.col("kind") == "joined") & whole & ((F.col("content") <= 2))
-    single = F.col("kind").isin("Genus", "Family", "vernacular") & whole & (extra == 0) & (F.col("initial") == "") & (F.col("used") == F.col("n_words"))
-    other = ~F.col("kind").isin("Species", "Genus", "Family", "vernacular", "joined") & whole & (extra == 0)
-    fits = scored.filter(species | joined | single | other).join(norms, "form")
-    score = F.col("dot") / (F.col("form_norm") * F.sqrt(F.col("own") + extra * F.lit(unknown * unknown) * 0.01)) + F.when(F.coalesce("hinted", F.lit(False)), 0.01).otherwise(0.0)
-    ranked = fits.withColumn("score", F.round(score, 6)).withColumn("rn", F.row_number().over(Window.partitionBy("name_id").orderBy(F.desc("score"), F.desc("covered"), "aphia_id")))
+    heads = weights.select(F.col("word").alias("head"), (F.col("idf") * F.col("idf")).alias("head_square"))
+    scored = scored.join(genus_hint, ["hint", "head"], "left").join(heads, "head", "left").join(norms, "form")
+    hinted = F.coalesce("hinted", F.lit(False))
+    by_initial = (F.col("initial") != "") & F.col("head").startswith(F.col("initial"))
+    borne = (F.col("kind") == "Species") & (F.col("n_words") > 1) & (F.col("has_head") == 0) & (by_initial | (F.col("initial") == "") & hinted)
+    whole = (F.col("covered") + borne.cast("int") == F.col("n_words")) & (F.col("used") == F.col("covered"))
+    extra = F.greatest(F.col("content") - F.col("words"), F.lit(0)) + ((F.col("initial") != "") & ~borne & ~(by_initial & (F.col("kind") == "Species"))).cast("int")
+    weigh = F.when((F.col("kind") == "Species") & (F.col("n_words") > 1) & ~borne, TRAILING).otherwise(1.0)
+    head = F.when(borne, F.coalesce("head_square", F.lit(0.0))).otherwise(0.0)
+    cosine = (F.col("dot") + BORNE * head) / (F.col("form_norm") * F.sqrt(F.col("own") + BORNE * BORNE * head + extra * weigh * F.lit(unknown * unknown)))
+    fits = scored.filter(whole).withColumn("score", F.round(cosine, 6)).filter(F.col("score") >= CUT)
+    # of entries as close in their words, the one whose words were typed as they are, then the one whose genus the row names
+    order = (F.desc(F.round(F.col("score") * F.col("dot") / (F.col("form_norm") * F.col("form_norm")) + F.when(hinted, 0.01).otherwise(0.0), 6)), F.desc("covered"), "aphia_id")
+    ranked = fits.withColumn("rn", F.row_number().over(Window.partitionBy("name_id").orderBy(*order)))
     chosen = ranked.filter("rn = 1").select("name_id", F.col("aphia_id").alias("found"), "score", "least")
     valid = reference.select(F.col("aphia_id").alias("found"), "valid_name").dropDuplicates(["found"])
     # one name may be typed in a third of all rows
