@@ -101,6 +101,27 @@ def invert(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+def invert_all(text: str, of: list[tuple[tuple[str, str], ...]]) -> Iterator[tuple[int, str]]:
+    """(number of the chain, text before it) of the chains that invert strictly to another text; each reading is undone once."""
+    raw: dict[str, bytes | None] = {}
+    for c, chain in enumerate(of):
+        written, read = chain[-1]
+        if read not in raw:
+            try:
+                raw[read] = _bytes(text, read)
+            except UnicodeError:
+                raw[read] = None
+        if (b := raw[read]) is not None:
+            try:
+                back = b.decode(written)
+            except UnicodeError:
+                continue
+            if len(chain) > 1:
+                back = invert(back, chain[:-1])
+            if back is not None and back != text:
+                yield c, back
+
+
 def chains() -> list[tuple[tuple[str, str], ...]]:
     single = [((w, r),) for w in WRITTEN for r in READ if w != r]
     return single + [(c, c) for c in TWICE]
@@ -365,9 +386,8 @@ def word_options(model: Model, word: str) -> dict[int, tuple[str, float]]:
         known = max(_known(model, x) for x in views(word))
         if known < 1:
             fluent = fluency(model, word)
-            for c, chain in enumerate(model.chains):
-                back = invert(word, chain)
-                if back is not None and back != word and _known(model, back) >= max(KNOWN, known + BETTER):
+            for c, back in invert_all(word, model.chains):
+                if _known(model, back) >= max(KNOWN, known + BETTER):
                     found[c] = (back, fluency(model, back) - fluent)
     return found
 
@@ -383,9 +403,8 @@ def restore_segment(model: Model, segment: str, odds: np.ndarray) -> tuple[str,
     if before >= 1:
         return segment, None, False
     fits = []
-    for c in order:
-        back = invert(segment, model.chains[c])
-        if back is not None and back != segment and LOST not in back and one_script(back) and _known(model, back) >= max(KNOWN, before + BETTER):
+    for c, back in invert_all(segment, model.chains):
+        if LOST not in back and _known(model, back) >= max(KNOWN, before + BETTER) and one_script(back):
             fluency_after = fluency(model, back)
             if fluency_after >= fluent + gain(odds[c]):
                 fits.append((fluency_after + float(odds[c]), -c, back, c))
