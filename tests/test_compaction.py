@@ -70,6 +70,24 @@ def test_files_are_balanced_and_hot_codes_split(spark):
     assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
 
 
+def test_files_lie_where_the_caller_says(spark, tmp_path):
+    payloads = [(i, "f", "ozfish" if i % 4 else "fishwio", json.dumps(record(f"k{i}", source=None, native_width=i)), None) for i in range(900)]
+    done = C.compact(spark, spark.createDataFrame(payloads, SCHEMA), target_bytes=8000, path=f"file://{tmp_path}/out")
+    assert done.path == f"file://{tmp_path}/out" and spark.read.parquet(done.path).count() == 900
+    written = [len(list(d.glob("*.parquet"))) for d in tmp_path.glob("out/source=*/file_no=*")]
+    assert len(written) == done.manifest.count() > 3 and set(written) == {1}
+
+
+def test_a_record_lost_on_the_way_is_noticed(spark, monkeypatch):
+    import pytest
+
+    payloads = [(i, "f", "ozfish", json.dumps(record(f"k{i}")), None) for i in range(50)]
+    save = C.Scratch.save
+    monkeypatch.setattr(C.Scratch, "save", lambda self, df, name, **more: save(self, df.filter("crop_key <> 'k7'") if name == "records" else df, name, **more))
+    with pytest.raises(RuntimeError, match="payloads deliver"):
+        C.compact(spark, spark.createDataFrame(payloads, SCHEMA))
+
+
 def test_empty_table(spark):
     done = C.compact(spark, spark.createDataFrame([], SCHEMA))
     assert done.files.count() == done.manifest.count() == 0

@@ -23,6 +23,7 @@ from tidemark.session import Scratch
 
 BITS = 8  # per dimension of the Hilbert code
 BUCKET_BITS = 16  # leading bits of the 24-bit code that the histogram counts
+WRITERS = 4096  # most tasks that write files; each holds a range of whole files
 BROADCAST_ROWS = 1 << 20  # most histogram rows (16 bytes each) sent to every executor
 FIELDS = ("crop_key", "source", "file_name", "native_width", "native_height", "depth_m", "note")
 PARSED = (
@@ -152,7 +153,7 @@ def digest(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.xxhash64(*RECORD).cast("decimal(38,0)")).alias("digest"))
 
 
-def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = None) -> Compacted:
+def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = None, path: str | None = None) -> Compacted:
     """Rewrite tiny files (file_id, source, payload) into few, each complete record once.
 
     A record is a parseable JSON object; its identity is crop_key, or all its
@@ -160,8 +161,9 @@ def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = No
     stays and ``occurrences`` counts all.  The source is the record's own, else
     its file's, else ``unknown``.  Null, empty and damaged payloads give what
     is complete in them; an empty table gives an empty one.  target_bytes is
-    the useful size of a file, by default a 32nd of all within 1 to 256 MB.
-    Raises if what was written differs from what was read.
+    the useful size of a file, by default a 32nd of all within 1 to 256 MB;
+    path the folder to write to (source=.../file_no=...), by default one of the
+    shared scratch folder.  Raises if what was written differs from what was read.
     """
     scratch = Scratch(spark, "compact")
     parsed = files.select("file_id", F.col("source").alias("file_source"), "payload").mapInArrow(_parse, PARSED)
@@ -182,14 +184,22 @@ def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = No
     n_files = F.greatest(F.lit(1), F.rint(total / F.lit(target_bytes)).cast("int"))
     bounds = histogram.withColumn("n_files", n_files).withColumn("first", F.coalesce(upto, F.lit(0)) / (total / n_files)).withColumn("span", F.col("bytes") / (total / n_files))
     bounds = scratch.save(bounds.select("source", "bucket", "n_files", "first", "span"), "bounds")
+    per = bounds.groupBy("source").agg(F.max("n_files").alias("n")).select("source", F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "n")  # one row per source
+    all_files = per.agg(F.sum("n")).head()[0] or 1
+    bounds = bounds.join(F.broadcast(per.drop("n")), "source")
     if bounds.count() <= BROADCAST_ROWS:
         bounds = F.broadcast(bounds)
     # a bucket that spans several files is split by the row hash, so one hot code cannot fill one file
     place = F.col("first") + F.col("span") * (F.pmod(F.xxhash64("crop_key", "file_id"), F.lit(1 << 20)) / (1 << 20))
     placed = records.join(bounds, ["source", "bucket"]).withColumn("file_no", F.least(F.col("n_files") - 1, F.floor(place).cast("int")))
-    placed = placed.select("source", "file_no", *[c for c in RECORD if c != "source"], "bytes", "code", "occurrences")
-    placed = placed.repartition("source", "file_no").sortWithinPartitions("source", "file_no", "code", "crop_key")
-    out = scratch.save(placed, "files", partition_by=["source", "file_no"])
+    writers = int(min(WRITERS, all_files))
+    task = F.floor((F.col("offset") + F.col("file_no")) * writers / F.lit(all_files)).cast("int")
+    placed = placed.select("source", "file_no", *[c for c in RECORD if c != "source"], "bytes", "code", "occurrences", task.alias("task"))
+    # the range shuffle: consecutive files go to one task, and no file to two
+    placed = placed.repartitionById(writers, "task").drop("task").sortWithinPartitions("source", "file_no", "code", "crop_key")
+    to = path.rstrip("/") if path else scratch.path("files")
+    placed.write.mode("overwrite").partitionBy("source", "file_no").parquet(to)
+    out = spark.read.schema(placed.schema).parquet(to)
 
     read, written = ({r["source"]: (r["records"], r["digest"]) for r in digest(x).collect()} for x in (records, out))  # one row per source
     if read != written:
@@ -205,7 +215,7 @@ def compact(spark: SparkSession, files: DataFrame, target_bytes: int | None = No
     manifest = out.groupBy("source", "file_no").agg(
         F.count("*").alias("records"), F.sum("bytes").alias("bytes"), F.sum("occurrences").alias("delivered"), F.sum(F.xxhash64(*RECORD).cast("decimal(38,0)")).cast("string").alias("digest")
     )
-    return Compacted(out, manifest, scratch.path("files"))
+    return Compacted(out, manifest, to)
 
 
 def repeated(files: DataFrame) -> DataFrame:
