@@ -137,9 +137,10 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
             rows = [(t, xxhash.xxh64_intdigest(v) - (1 << 63)) for t in frame["token"] for v in (variants(t) if len(t) <= longest else (t,))]
             yield pd.DataFrame(rows, columns=["token", "variant"])
 
-    tasks = 2 * tokens.sparkSession.sparkContext.defaultParallelism  # a row gives hundreds of variants, so tasks follow the cores
-    left = tokens.select("token").repartition(tasks, "token").mapInPandas(delete, schema)
-    right = vocabulary.select(F.col("word").alias("token")).repartition(tasks, "token").mapInPandas(delete, schema).withColumnRenamed("token", "word")
+    # a row gives hundreds of variants, so tasks follow the cores; by another hash than the tokens lie by, or Spark leaves them as they are
+    tasks = 2 * tokens.sparkSession.sparkContext.defaultParallelism
+    left = tokens.select("token").repartition(tasks, F.xxhash64("token")).mapInPandas(delete, schema)
+    right = vocabulary.select(F.col("word").alias("token")).repartition(tasks, F.xxhash64("token")).mapInPandas(delete, schema).withColumnRenamed("token", "word")
     near = left.join(right, "variant").select("token", "word").distinct()
     far = F.levenshtein("token", "word")
     longer = F.greatest(F.length("token"), F.length("word"))
