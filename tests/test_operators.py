@@ -191,3 +191,82 @@ def test_decide_with_equal_candidates(spark):
     df = spark.createDataFrame([("l", c, d, v) for d in range(4) for c, v in (("a", 0.5), ("b", 0.5), ("c", 0.1 + d / 100))], "level string, cand string, draw int, v double")
     got = {r["cand"]: (r["best"], r["tied"]) for r in decisions.decide(df, "level", "cand", "draw", "v", 2.35).collect()}
     assert got == {"a": ("a", True), "b": ("a", True), "c": ("a", False)}
+
+
+def test_places_of_hot_groups(spark, rows, monkeypatch):
+    from tidemark.operators import ranks
+
+    data = [(g, i * 7919 % 1000, i) for g, n in (("hot", 600), ("b", 30), (None, 50), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(5)
+    plain = rows(ranks.placed(df, ["g"], ["v", "i"]).filter("g is not null"), "g", "i", "rn")
+    null = sorted((r["v"], r["i"], r["rn"]) for r in ranks.placed(df, ["g"], ["v", "i"]).filter("g is null").collect())
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 40)
+    assert rows(ranks.placed(df, ["g"], ["v", "i"]).filter("g is not null"), "g", "i", "rn") == plain
+    assert sorted((r["v"], r["i"], r["rn"]) for r in ranks.placed(df, ["g"], ["v", "i"]).filter("g is null").collect()) == null
+    assert [r["code"] for r in integrity.dense_codes(df, "i").orderBy("i").collect()] == list(range(600))
+    every = sampling.stride(df.filter("g = 'hot'"), ["g"], ["v", "i"], 50)
+    assert every.count() == 12 and sampling.stratified(df, ["g"], "i", 0.1, "s").groupBy("g").count().filter("g = 'hot'").head()["count"] == 60
+
+
+def test_dense_sites(spark, rows):
+    """Thousands of points in a few cells, chains across cells, and gaps that only inner points close."""
+    import math
+
+    rng = random.Random(5)
+    points = [(i, 10 + rng.random() * 0.02, 20 + rng.random() * 0.02) for i in range(400)]
+    points += [(1000 + i, 60 + i * 0.02, -30.0) for i in range(20)] + [(2000 + i, -75 + rng.random(), 100 + 3 * rng.random()) for i in range(150)]
+    points += [(3000, 0.0, 0.0), (3001, 0.0, 0.0), (3002, None, 1.0), (3003, 0.0, float("nan"))]
+    root = {i: i for i, *_ in points}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    real = [x for x in points if x[1] is not None and x[2] == x[2]]
+    for i, a in enumerate(real):
+        for b in real[:i]:
+            if km(a, b) <= 3.0:
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    got = dict(rows(links.grid_sites(spark.createDataFrame(points, "i long, la double, lo double"), "i", "la", "lo", 3.0), "i", "site"))
+    assert got == {i: find(i) for i in root}
+
+
+def test_date_links_join_what_all_pairs_would(spark, rows):
+    from tidemark.operators import groups
+
+    rng = random.Random(2)
+    data = [(rng.choice("ab"), rng.randint(1, 6), f"t{rng.randint(1, 40)}", rng.random() < 0.4) for _ in range(120)] + [("a", None, "t1", True), (None, 1, "t2", False), ("b", 2, None, True)]
+
+    def joined(pairs):
+        root = {}
+        find = lambda v: v if root.setdefault(v, v) == v else find(root[v])
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {v: find(v) for v in root}
+
+    want = joined((a[2], b[2]) for a in data for b in data if a[:2] == b[:2] and None not in a[:3] + b[:3] and not a[3] and b[3] and a[2] != b[2])
+    got = joined((r["a"], r["b"]) for r in groups.date_links(spark.createDataFrame(data, "s string, d int, t string, ok boolean"), "s", "d", "t", "ok").collect())
+    assert got == want
+
+
+def test_predictions_in_blocks(spark, rows, monkeypatch):
+    rng = random.Random(1)
+    protos = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)], "label int, v array<double>")
+    made = vectors.prototypes(protos, "label", "v")
+    queries = spark.createDataFrame([(i, rng.randint(0, 29), [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)] + [(900, 1, None), (901, 2, [0.0] * 4)], "id long, label int, v array<double>")
+    parents = spark.createDataFrame([(i, i // 7) for i in range(30)], "label int, parent int")
+    for own in (None, parents):
+        whole = rows(vectors.predictions(queries, made, "id", "label", "v", own), "id", "label", "predicted")
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "BLOCK_BYTES", 8 * 4 * 9)
+            assert rows(vectors.predictions(queries, made, "id", "label", "v", own), "id", "label", "predicted") == whole
+        assert 195 < len(whole) <= 201
+    assert vectors.predictions(queries, made.filter("false"), "id", "label", "v").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import haversine_km, touches
 from tidemark.functions.text import hash_order
+from tidemark.operators.links import KM, cells, reach
 
 
 def box_kinds(rows: DataFrame, file: str, empty: Column, width: str, height: str) -> DataFrame:
@@ -41,23 +42,28 @@ def safe_groups(rows: DataFrame, group: str, rule: str, unsafe: Sequence[str]) -
 
 
 def date_links(rows: DataFrame, space: str, day: str, token: str, reliable: str) -> DataFrame:
-    """a, b: each unreliable token with every reliable one of the same namespace and day (for components)."""
-    dives = rows.filter(F.col(reliable) & F.col(day).isNotNull()).select(space, day, F.col(token).alias("b")).distinct()
-    weak = rows.filter(~F.col(reliable) & F.col(day).isNotNull()).select(space, day, F.col(token).alias("a")).distinct()
-    return weak.join(dives, [space, day]).select("a", "b").distinct()
+    """a, b: links that join the tokens of a namespace and day into one component, where it has unreliable and reliable ones.
+
+    Each token is linked to the day's smallest reliable one (a, apart from it),
+    so a day costs its tokens, not their pairs.
+    """
+    tokens = rows.filter(F.col(day).isNotNull() & F.col(token).isNotNull() & F.col(reliable).isNotNull()).groupBy(space, day, token).agg(F.bool_or(reliable).alias("_r"), F.bool_and(reliable).alias("_all"))
+    days = tokens.groupBy(space, day).agg(F.min(F.when(F.col("_r"), F.col(token))).alias("b"), F.bool_and("_all").alias("_sure")).filter(F.col("b").isNotNull() & ~F.col("_sure"))
+    return tokens.join(days, [space, day]).select(F.col(token).alias("a"), "b").filter("a <> b").distinct()
 
 
 def position_links(points: DataFrame, centres: DataFrame, space: str, ident: str, token: str, radius_km: float) -> DataFrame:
     """ident, token: points within radius_km of a centre of the same namespace.
 
-    Points look into their own and the neighbouring rows of latitude as high as
-    the radius, so the distance is only taken for pairs that are near in latitude.
+    A point looks into its own cell; the centres stand in every cell that the
+    radius reaches.  Links across the date line are not made.
     """
-    step = radius_km / 110.574
-    row = F.floor(F.col("lat") / step)
-    p = points.select(space, ident, F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(F.array(row - 1, row, row + 1)).alias("_r"))
-    c = centres.select(space, token, "lat", "lon", row.alias("_r"))
-    return p.join(c, [space, "_r"]).filter(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")) <= radius_km).select(ident, token)
+    height = radius_km / KM
+    row, column = cells(F.col("lat"), F.col("lon"), height)
+    p = points.select(space, ident, F.col("lat").alias("la"), F.col("lon").alias("lo"), row.alias("_r"), column.alias("_c"))
+    c = centres.filter("lat is not null and lon is not null").select(space, token, "lat", "lon", F.explode(F.array(row - 1, row, row + 1)).alias("_r"))
+    c = c.select("*", F.explode(reach(F.col("_r"), height, F.col("lon"), F.col("lon"), radius_km)).alias("_c"))
+    return p.join(c, [space, "_r", "_c"]).filter(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")) <= radius_km).select(ident, token)
 
 
 def fallback_lookup(rows: DataFrame, frames: DataFrame, name: str, loose: Sequence[str], value: str) -> DataFrame:

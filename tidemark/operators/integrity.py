@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import placed
+
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n of every key that occurs more than once."""
@@ -48,11 +50,10 @@ def top_or_other(df: DataFrame, column: str, k: int) -> DataFrame:
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
     """column, code: values numbered from 0 in their order.
 
-    The numbering is taken over the distinct values, which are few (levels of a
-    factor); rows join the codes.
+    The numbering is taken over the distinct values; rows join the codes.
     """
     levels = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    return levels.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    return placed(levels, [], [column], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def upsert(held: DataFrame, new: DataFrame, key: str, id_column: str) -> DataFrame:

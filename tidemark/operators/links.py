@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import haversine_km, iou
 from tidemark.operators.graph import components
+from tidemark.operators.ranks import placed
+from tidemark.session import Scratch
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, gap: float, linked: Column | None = None) -> DataFrame:
@@ -70,8 +72,8 @@ def track_summary(tracks: DataFrame, rho: float) -> DataFrame:
 
 def shuffled_within(rows: DataFrame, keys: list[str], moved: list[str], ident: str, seed: int) -> DataFrame:
     """rows with the moved columns permuted inside each key (a null model)."""
-    own = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)))
-    other = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(ident).cast("string")), 256)))).select(*keys, "_i", *moved)
+    own = placed(rows, keys, [ident], "_i")
+    other = placed(rows, keys, [F.sha2(F.concat_ws(":", F.lit(seed), F.col(ident).cast("string")), 256)], "_i").select(*keys, "_i", *moved)
     return own.drop(*moved).join(other, [*keys, "_i"]).select(*rows.columns)
 
 
@@ -96,26 +98,61 @@ def stereo_pairs(rows: DataFrame, offsets: DataFrame, deployment: str, taxon: st
     return rows.groupBy(deployment).agg(F.count("*").alias("total")).join(pairs, deployment, "left").select(deployment, F.coalesce("pairs", F.lit(0)).alias("pairs"), "total")
 
 
+KM = 111.195  # of a degree on the sphere that distances are measured on
+
+
+def cells(lat: Column, lon: Column, height: float) -> tuple[Column, Column]:
+    """(row, column) of cells ``height`` degrees high and, at the row's edge nearer to the equator, as wide in kilometres."""
+    row = F.floor(lat / height)
+    return row, F.floor(lon / cell_width(row, height))
+
+
+def cell_width(row: Column, height: float) -> Column:
+    nearer = F.least(F.abs(row), F.abs(row + 1)) * height
+    return F.least(F.lit(360.0), F.lit(height) / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), nearer))), F.lit(1e-6)))
+
+
+def reach(row: Column, height: float, low: Column, high: Column, radius_km: float) -> Column:
+    """Columns of a row that lie within radius_km of the longitudes low to high."""
+    farther = F.greatest(F.abs(row), F.abs(row + 1)) * height
+    room = F.lit(1.001 * radius_km / KM) / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), farther))), F.lit(1e-6))
+    width = cell_width(row, height)
+    return F.sequence(F.floor((low - F.least(room, F.lit(360.0))) / width), F.floor((high + F.least(room, F.lit(360.0))) / width))
+
+
 def grid_sites(points: DataFrame, ident: str, lat: str, lon: str, radius_km: float) -> DataFrame:
     """ident, site: points within radius_km of each other, directly or through others; site is the smallest ident.
 
-    A row of cells is as high as the radius; its cells are as wide as the radius
-    at its far edge, so a neighbour is in the cell or next to it.  Links across
-    the date line are not made.
+    All points of a cell are one site, since its diagonal is under the radius.
+    Neighbouring cells are first compared by the points that lie outermost in
+    eight directions; only where these do not link two cells, and nothing else
+    does, are their points compared, so a dense site costs its cells, not its
+    pairs.  Points without a position are sites of their own.  Links across the
+    date line are not made.
     """
-    step = radius_km / 110.574
-    row = F.floor(F.col(lat) / step)
-    p = points.select(F.col(ident).alias("i"), F.col(lat).alias("la"), F.col(lon).alias("lo"), row.alias("r"))
-    # one longitude width for a row of cells and its neighbours: that of the row's far edge, rounded up to a power of two
-    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.lit(radius_km / 111.320) / F.cos(F.radians(F.least(F.lit(89.0), (F.abs(F.col("r")) + 2) * step))))))
-    own = p.withColumn("width", width).withColumn("c", F.floor(F.col("lo") / F.col("width"))).select("i", "la", "lo", "r", "c")
-    left = own.select(F.col("i").alias("a"), F.col("la").alias("la1"), F.col("lo").alias("lo1"), "r", "c")
-    # the other point is looked up in the cells of the left point's row, with that row's width
-    rows = p.select("i", "la", "lo", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r")).withColumn("c", F.floor(F.col("lo") / width))
-    right = rows.select(F.col("i").alias("b"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "r", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    near = left.join(right, ["r", "c"]).filter((F.col("a") < F.col("b")) & (haversine_km(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")) <= radius_km)).select("a", "b").distinct()
-    found = components(near, "sites").select(F.col("v").alias("i"), F.col("root").alias("site"))
-    return points.select(F.col(ident).alias("i")).join(found, "i", "left").select(F.col("i").alias(ident), F.coalesce("site", "i").alias("site"))
+    scratch = Scratch(points.sparkSession, "sites")
+    height = radius_km / KM / 1.5
+    valid = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double")))
+    row, column = cells(F.col(lat), F.col(lon), height)
+    p = scratch.save(valid.select(F.col(ident).alias("i"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"), row.alias("r"), column.alias("c")), "points")
+    at = F.struct("la", "lo")
+    outer = [f(at, F.col("la") * a + F.col("lo") * b) for a, b in ((1, 0), (0, 1), (1, 1), (1, -1)) for f in (F.min_by, F.max_by)]
+    held = scratch.save(p.groupBy("r", "c").agg(F.min("i").alias("cell"), F.array(*outer).alias("outer"), F.min("lo").alias("west"), F.max("lo").alias("east")), "cells")
+    near_rows = held.select("cell", "outer", "west", "east", F.explode(F.array(*[F.col("r") + d for d in range(-2, 3)])).alias("r"))
+    asked = near_rows.select(F.col("cell").alias("a"), F.col("outer").alias("outer_a"), "r", F.explode(reach(F.col("r"), height, F.col("west"), F.col("east"), radius_km)).alias("c"))
+    pairs = asked.join(held.select(F.col("cell").alias("b"), F.col("outer").alias("outer_b"), "r", "c"), ["r", "c"]).filter("a < b")
+    close = F.exists("outer_a", lambda x: F.exists("outer_b", lambda y: haversine_km(x["la"], x["lo"], y["la"], y["lo"]) <= radius_km))
+    pairs = scratch.save(pairs.select("a", "b", close.alias("close")).distinct(), "pairs")
+    sure = pairs.filter("close").select("a", "b")
+    found = components(sure, "sites")
+    first, second = found.select(F.col("v").alias("a"), F.col("root").alias("ra")), found.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    open_ = pairs.filter("not close").join(first, "a", "left").join(second, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    own = p.join(held.select("r", "c", "cell"), ["r", "c"]).select("cell", "la", "lo")
+    one, other = own.select(F.col("cell").alias("a"), F.col("la").alias("la1"), F.col("lo").alias("lo1")), own.select(F.col("cell").alias("b"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
+    met = open_.join(one, "a").join(other, "b").filter(haversine_km(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")) <= radius_km).select("a", "b").distinct()
+    sites = components(sure.unionByName(met), "sites-all").select(F.col("v").alias("cell"), F.col("root").alias("site"))
+    of = p.join(held.select("r", "c", "cell"), ["r", "c"]).join(sites, "cell", "left").select("i", F.coalesce("site", "cell").alias("site"))
+    return points.select(F.col(ident).alias("i")).join(of.distinct(), "i", "left").select(F.col("i").alias(ident), F.coalesce("site", "i").alias("site"))
 
 
 def spread(points: DataFrame, group: str, lat: str, lon: str) -> DataFrame:

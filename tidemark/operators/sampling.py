@@ -6,34 +6,38 @@ any partitioning and can be recomputed by an independent engine.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import hash_order
+from tidemark.operators.ranks import placed
 from tidemark.operators.units import usable
 from tidemark.session import Scratch
 
 
 def ranked(rows: DataFrame, group: list[str], key: str, seed: str) -> DataFrame:
     """rows with rn, their place in the group's hash order."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(hash_order(F.lit(seed), F.col(key)), key)))
+    return placed(rows, group, [hash_order(F.lit(seed), F.col(key)), key])
 
 
 def take_per_group(rows: DataFrame, group: list[str], key: str, n: int, seed: str) -> DataFrame:
-    """At most n rows of each group."""
-    return ranked(rows, group, key, seed).filter(F.col("rn") <= n).drop("rn")
+    """At most n rows of each group; every task drops what is beyond n before anything is shuffled."""
+    rn = F.row_number().over(Window.partitionBy(*group).orderBy(hash_order(F.lit(seed), F.col(key)), key))
+    return rows.withColumn("rn", rn).filter(F.col("rn") <= n).drop("rn")
 
 
 def stratified(rows: DataFrame, group: list[str], key: str, fraction: float, seed: str) -> DataFrame:
-    """rint(fraction * size) rows of each group."""
-    size = F.count("*").over(Window.partitionBy(*group))
-    return ranked(rows.withColumn("size", size), group, key, seed).filter(F.col("rn") <= F.rint(F.col("size") * fraction)).drop("rn", "size")
+    """rint(fraction * size) rows of each group; a null group is one."""
+    sizes = rows.groupBy(*group).agg(F.rint(F.count("*") * fraction).alias("_quota")).select(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(group)], "_quota")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_s{i}")) for i, g in enumerate(group)])
+    return ranked(rows, group, key, seed).join(sizes, same).filter(F.col("rn") <= F.col("_quota")).select(*rows.columns)
 
 
 def stride(rows: DataFrame, group: list[str], order: list[str], step: int) -> DataFrame:
     """Every step-th row of each group, the first included."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("rn", rn).filter(F.pmod(F.col("rn") - 1, F.lit(step)) == 0).drop("rn")
+    return placed(rows, group, order).filter(F.pmod(F.col("rn") - 1, F.lit(step)) == 0).drop("rn")
 
 
 def take_until(rows: DataFrame, taxon: str, group: str, k: int, seed: str) -> DataFrame:

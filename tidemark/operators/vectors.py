@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import lookup_join
+from tidemark.session import Scratch
+
 
 def unit(v: Column) -> Column:
     """The vector (doubles) over the larger of its length and 1e-12."""
@@ -35,25 +41,66 @@ def prototypes(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return packed.select(label, unit(F.col("s")).alias("proto"))
 
 
+BLOCK_BYTES = 64 << 20  # most of the prototypes that are sent to every executor, or stand in one block
+ROWS = 4096  # queries of one matrix product
+
+
 def predictions(queries: DataFrame, protos: DataFrame, key: str, label: str, vector: str, parents: DataFrame | None = None) -> DataFrame:
     """key, label, predicted: best prototype per query, ties to the smaller label.
 
     With parents (label, parent) only labels of the query's own parent compete,
-    and parents with fewer than two labels are left out.  The prototypes travel
-    as one array (one per label), so a query is scored where it lies.
+    and parents with fewer than two labels are left out.  The prototypes are
+    counted: within BLOCK_BYTES they travel to the executors and a query is
+    scored where it lies; beyond that they are cut into blocks, every block meets
+    all queries, and the best of the blocks counts.  Scores are matrix products
+    of batches; a query without a vector has no row.
     """
-    p = protos
+    spark = queries.sparkSession
+    q, p = queries.select(key, label, vector), protos
     if parents is not None:
-        sized = parents.withColumn("_c", F.count("*").over(Window.partitionBy("parent"))).filter("_c >= 2").drop("_c")
-        p = protos.join(sized, label)
-        q = queries.join(F.broadcast(sized), label)  # one row per label
-        grouped = p.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "proto"))).alias("_p"))
-        q = q.join(F.broadcast(grouped), "parent")
+        sized = parents.withColumn("_c", F.count("*").over(Window.partitionBy("parent"))).filter("_c >= 2").select(label, F.col("parent").cast("string").alias("_parent"))
+        p, q = lookup_join(protos, sized, [label]), lookup_join(q, sized, [label])
     else:
-        q = queries.join(F.broadcast(p.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "proto"))).alias("_p"))))
-    own = unit(F.col(vector))
-    scored = F.transform("_p", lambda s: F.struct((-F.round(dot(own, s["proto"]), 9)).alias("d"), s["l"].alias("l")))
-    return q.select(key, label, F.array_min(scored)["l"].alias("predicted"))
+        p, q = p.withColumn("_parent", F.lit("")), q.withColumn("_parent", F.lit(""))
+    p = p.filter(f"`{label}` is not null").select(label, "proto", "_parent")
+    q = q.filter(F.col(vector).isNotNull()).select(key, label, "_parent", F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    size = p.agg(F.count("*").alias("n"), F.max(F.size("proto")).alias("d")).head()
+    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // BLOCK_BYTES))
+
+    def best(queries: pa.Table, labels: list, matrix: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, list]:
+        x = np.array(queries.column("_v").to_pylist(), np.float64).reshape(len(queries), -1)
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+        scores = np.round(x @ matrix.T, 9)
+        scores[np.array(queries.column("_parent").to_pylist())[:, None] != groups[None, :]] = -np.inf
+        at = scores.argmax(1)  # labels are in order, so the first is the smaller one
+        return scores[np.arange(len(at)), at], [labels[i] for i in at]
+
+    def answer(queries: pa.Table, labels: list, matrix: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+        score, found = best(queries, labels, matrix, groups)
+        out = pa.Table.from_arrays([queries.column(0).combine_chunks(), queries.column(1).combine_chunks(), pa.array(found, queries.schema.field(1).type), pa.array(score)], names=[key, label, "predicted", "_score"])
+        return out.filter(pa.array(np.isfinite(score))).combine_chunks()
+
+    kinds = dict(q.dtypes)
+    schema = f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, predicted {kinds[label]}, _score double"
+
+    def scored(own: DataFrame) -> DataFrame:
+        rows = sorted(((r[label], r["proto"], r["_parent"]) for r in own.collect()), key=lambda r: r[0])  # about BLOCK_BYTES
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], object)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels, matrix, groups = shared.value
+            for batch in batches:
+                for start in range(0, len(batch) if labels else 0, ROWS):
+                    yield from answer(pa.Table.from_batches([batch.slice(start, ROWS)]), labels, matrix, groups).to_batches()
+
+        return q.mapInArrow(score, schema)
+
+    if blocks == 1:
+        return scored(p).select(key, label, "predicted")
+    held = Scratch(spark, "blocks").save(p.withColumn("_block", F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int")), "protos")
+    parts = [Scratch(spark, "scored").save(scored(held.filter(F.col("_block") == b)), f"block-{b}") for b in range(blocks)]
+    best_of = F.min(F.struct((-F.col("_score")).alias("s"), "predicted")).alias("b")
+    return reduce(DataFrame.unionByName, parts).groupBy(key, label).agg(best_of).select(key, label, "b.predicted")
 
 
 def macro_recall(predicted: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -97,7 +97,7 @@ def safe_groups(spark: SparkSession, sf: str) -> DataFrame:
     return R.safe_groups(table(spark, sf, "fn_dev_groups").withColumnRenamed("deployment", "group"), "group", "derived_level", ["date", "project"])
 
 
-@query("date_links", "WITH r AS (SELECT owner_institution s, taken_at::DATE d, 't' || (image_id % 40) t, image_id % 3 = 0 ok FROM images WHERE owner_institution IS NOT NULL AND taken_at IS NOT NULL) SELECT DISTINCT w.t a, k.t b FROM r w JOIN r k ON w.s = k.s AND w.d = k.d AND NOT w.ok AND k.ok")
+@query("date_links", "WITH r AS (SELECT owner_institution s, taken_at::DATE d, 't' || (image_id % 40) t, image_id % 3 = 0 ok FROM images WHERE owner_institution IS NOT NULL AND taken_at IS NOT NULL), k AS (SELECT s, d, min(t) FILTER (ok) b FROM r GROUP BY ALL HAVING bool_or(ok) AND NOT bool_and(ok)) SELECT DISTINCT r.t a, k.b FROM r JOIN k ON k.s = r.s AND k.d = r.d WHERE r.t <> k.b")
 def date_links(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "images").filter("owner_institution is not null").select(F.col("owner_institution").alias("s"), F.to_date("taken_at").alias("d"), F.concat(F.lit("t"), F.col("image_id") % 40).alias("t"), (F.col("image_id") % 3 == 0).alias("ok"))
     return R.date_links(r, "s", "d", "t", "ok")
