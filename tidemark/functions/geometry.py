@@ -118,3 +118,31 @@ def patch_grid(width: Column, height: Column, patch: int, budget: int, steps: in
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(1e-6).alias("lo"), F.lit(100.0).alias("hi")), halve)["lo"]
     return F.struct((side(width, found) * patch).alias("w"), (side(height, found) * patch).alias("h"))
+
+
+def square_profile(w: Column, h: Column, fw: Column, fh: Column, margin: float) -> Column:
+    """struct(tier, side, pad_fraction) of the older profile: the padded share is 1 - (short side / side) squared.
+
+    Not that of ``square_for``: a padded square keeps its margin, and its share
+    does not depend on where the box lies.
+    """
+    longest, short = F.greatest(w, h), F.least(fw, fh)
+    wished = half(longest * (1 + margin))
+    padded = longest > short
+    pad = F.when(padded & (wished > 0), F.greatest(F.lit(0.0), 1 - (short * short).cast("double") / (wished * wished))).otherwise(0.0)
+    tier = F.when(padded, "padded").when(wished > short, "margin_reduced").otherwise("fits")
+    return F.struct(tier.alias("tier"), F.when(padded, wished).otherwise(F.least(wished, short)).cast("int").alias("side"), F.round(pad, 6).alias("pad_fraction"))
+
+
+def inside_square(x: Column, y: Column, w: Column, h: Column, square: Column) -> Column:
+    """struct(x, y, w, h) of a box in the coordinates of its square (side, sx, sy)."""
+    return F.struct((x - square["sx"]).alias("x"), (y - square["sy"]).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def input_size(w: Column, h: Column, geometry: str) -> Column:
+    """struct(w, h, dx, dy): the canvas that an image is put on; letterbox is square with the image in its middle, distort square, others as they are."""
+    side = F.greatest(w, h)
+    if geometry == "letterbox":
+        return F.struct(side.alias("w"), side.alias("h"), F.floor((side - w) / 2).cast("int").alias("dx"), F.floor((side - h) / 2).cast("int").alias("dy"))
+    own = (side, side) if geometry == "distort" else (w, h)
+    return F.struct(own[0].alias("w"), own[1].alias("h"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))

@@ -80,3 +80,19 @@ def split_label(split: Column, in_dev: Column) -> Column:
 def lock_label(before: Column, in_lock: Column, in_heldout: Column) -> Column:
     """Precedence of the locked cut: dev and ungrouped stay, then lock, heldout, train."""
     return F.when(before.isin("dev", "ungrouped"), before).when(in_lock, "lock").when(in_heldout, "heldout").otherwise("train")
+
+
+CORE = ("kingdom", "phylum", "class", "order", "family", "genus", "species")  # fixed values: ranks that a lineage must not skip, from coarse to fine
+
+
+def lineage_gaps(lineage: Column, rank: Column) -> Column:
+    """array of the core ranks that a lineage (map of rank to name) misses, coarse to fine.
+
+    A rank is missed where a finer one is there, or where it is the category's
+    own.  Names that are null or blank are not there.
+    """
+    there = F.filter(F.array(*[F.lit(r) for r in CORE]), lambda r: F.trim(F.coalesce(F.try_element_at(lineage, r), F.lit(""))) != "")
+    core = F.array(*[F.lit(r) for r in CORE])
+    finest = F.coalesce(F.array_max(F.transform(there, lambda r: F.array_position(core, r))), F.lit(0))
+    own = F.lower(F.trim(F.coalesce(rank, F.lit(""))))
+    return F.filter(core, lambda r: ~F.array_contains(there, r) & ((F.array_position(core, r) < finest) | (r == own)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import Scratch
+
 
 # fixed values: statuses that leave the choice of a replacement to a person
 DOUBTFUL = ("alternate representation", "nomen dubium", "taxon inquirendum", "uncertain", "interim unpublished")
@@ -158,3 +160,46 @@ def greedy_cover(counts: DataFrame, need: int, picks: int) -> list[tuple[str, in
         taken = spark.createDataFrame([(g,) for g, _ in out], counts.select("group").schema)
         have = counts.select("taxon").distinct().join(counts.join(F.broadcast(taken), "group").groupBy("taxon").agg(F.sum("units").alias("have")), "taxon", "left").select("taxon", F.coalesce("have", F.lit(0)).alias("have"))
     return out
+
+
+def staged_cover(counts: DataFrame, stages: list[str], picks: dict[str, int], need: int, protected: list[tuple[int, int]], bar: int | None = None) -> list[tuple[str, str, float, int]]:
+    """(stage, group, gain, taxa that reach ``need``) in the order picked.
+
+    counts has stage, group, taxon, units.  Stage by stage the group is picked
+    that adds most of what the taxa lack: sum of max(0, min(units, need - have)),
+    in the first stage by its own units, later by all picked so far; ties go to
+    the smaller group.  A group that would leave a taxon of the rest under a
+    protected gate (units, groups) which it passes at the start is not picked.
+    With ``bar`` the picks end where so many taxa reach need: as a longer run
+    begins with a shorter one, that is the smallest set.  Every pick is one
+    distributed aggregate over (group, taxon) counts; only the pick comes to
+    the driver.
+    """
+    spark = counts.sparkSession
+    held = Scratch(spark, "cover").save(counts.filter("units > 0"), "counts")
+    taken = spark.createDataFrame([], "stage string, group string")
+    out: list[tuple[str, str, float, int]] = []
+    keyed = held.withColumn("group", F.col("group").cast("string"))
+    start = keyed.groupBy("taxon").agg(F.sum("units").alias("u0"), F.count_distinct("stage", "group").alias("g0"))
+    for number, stage in enumerate(stages):
+        while sum(1 for s, *_ in out if s == stage) < picks[stage]:
+            chosen = keyed.join(F.broadcast(taken), ["stage", "group"], "left_semi")  # as many rows as picks
+            rest = keyed.join(F.broadcast(taken), ["stage", "group"], "left_anti")
+            counted = chosen if number else chosen.filter(F.col("stage") == stage)
+            have = counted.groupBy("taxon").agg(F.sum("units").alias("have"))
+            left = rest.groupBy("taxon").agg(F.sum("units").alias("u"), F.count_distinct("stage", "group").alias("g")).join(start, "taxon")
+            avail = rest.filter(F.col("stage") == stage).join(left, "taxon").join(have, "taxon", "left")
+            breaks = F.lit(False)
+            for units, groups in protected:
+                breaks |= (F.col("u0") >= units) & (F.col("g0") >= groups) & ((F.col("u") - F.col("units") < units) | (F.col("g") - 1 < groups))
+            lack = F.greatest(F.lit(0), F.least(F.col("units"), F.lit(need) - F.coalesce("have", F.lit(0))))
+            gains = avail.groupBy("group").agg(F.sum(lack).cast("double").alias("gain"), F.bool_or(breaks).alias("breaks")).filter("not breaks and gain > 0")
+            best = gains.orderBy(F.desc("gain"), "group").head()
+            if best is None:
+                break
+            taken = spark.createDataFrame([(s, g) for s, g, *_ in out] + [(stage, best["group"])], "stage string, group string")
+            now = keyed.join(F.broadcast(taken), ["stage", "group"], "left_semi").groupBy("taxon").agg(F.sum("units").alias("h")).filter(F.col("h") >= need).count()
+            out.append((stage, best["group"], float(best["gain"]), now))
+            if bar is not None and now >= bar:
+                return out
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import compaction
-from tidemark.plans import core_a, core_b, core_c  # noqa: F401  (they register their queries)
+from tidemark.plans import core_a, core_b, core_c, core_d  # noqa: F401  (they register their queries)
 from tidemark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tidemark.session import table
 
