@@ -9,7 +9,7 @@ from tidemark.functions import geometry as G
 from tidemark.functions import stats
 from tidemark.functions import taxa as X
 from tidemark.functions.text import hash_order, norm, seed64, uid, url_name
-from tidemark.operators import integrity, units
+from tidemark.operators import integrity, profile, units
 from tidemark.plans.rehosted import CROPS_SQL, crops
 from tidemark.plans.registry import query
 from tidemark.session import table
@@ -111,22 +111,17 @@ def finest_group_level(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT source, lang, count(*) docs, count(DISTINCT text) texts, count(*) FILTER (text IS NULL OR text = '') empties, round(100.0 * count(deployment) / count(*), 4)::DOUBLE placed_pct, (grouping(source) + grouping(lang))::BIGINT level FROM documents GROUP BY ROLLUP (source, lang)""",
 )
 def source_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    level = F.grouping("source") + F.grouping("lang")
-    return d.rollup("source", "lang").agg(
-        F.count("*").alias("docs"), F.count_distinct("text").alias("texts"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empties"), F.round(100.0 * F.count("deployment") / F.count("*"), 4).alias("placed_pct"), level.cast("long").alias("level")
-    )
+    return profile.rollup_counts(table(spark, sf, "documents"), ["source", "lang"], "text", "deployment")
 
 
 @query("camera_cube", f"{WITH} SELECT source, camera, count(*) n, (grouping(source) * 2 + grouping(camera))::BIGINT gid FROM crops GROUP BY CUBE (source, camera)")
 def camera_cube(spark: SparkSession, sf: str) -> DataFrame:
-    return crops(spark, sf).cube("source", "camera").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("gid"))
+    return profile.cube_counts(crops(spark, sf), ["source", "camera"])
 
 
 @query("category_by_source", f"{WITH} SELECT species, string_agg(DISTINCT source, '|' ORDER BY source) sources, count(*) crops, count(DISTINCT deployment) deployments, min(least(w, h)) smallest FROM crops GROUP BY species")
 def category_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    g = crops(spark, sf).groupBy("species")
-    return g.agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.count("*").alias("crops"), F.count_distinct("deployment").alias("deployments"), F.min(F.least("w", "h")).alias("smallest"))
+    return profile.category_profile(crops(spark, sf), "species", "source", "deployment", F.least("w", "h")).withColumnRenamed("groups", "deployments")
 
 
 @query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -286,8 +281,7 @@ SELECT source, def "definition", count(*) n, quantile_disc(v, 0.1)::DOUBLE p10,
 )
 def size_summary(spark: SparkSession, sf: str) -> DataFrame:
     long = crops(spark, sf).select("source", F.expr("stack(4, 'short', least(w, h), 'long', greatest(w, h), 'width', w, 'height', h) as (definition, v)"))
-    pct = [F.expr(f"percentile_disc({q}) within group (order by v)").cast("double").alias(x) for x, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))]
-    return long.groupBy("source", "definition").agg(F.count("*").alias("n"), *pct, *[F.round(100.0 * F.count_if(F.col("v") < t) / F.count("*"), 4).alias(f"under_{t}_pct") for t in (64, 32)])
+    return profile.size_summary(long, ["source", "definition"], "v")
 
 
 @query(
@@ -295,14 +289,12 @@ def size_summary(spark: SparkSession, sf: str) -> DataFrame:
     f"""{WITH}, c AS (SELECT cap, greatest(w, h) lo, least(w, h) sh FROM crops, (VALUES (128), (256), (384)) t(cap)) SELECT cap, count(*) FILTER (lo > cap) touched, count(*) FILTER (lo > cap AND sh * (cap::DOUBLE / lo) < 64) short_after, round(min(sh * (cap::DOUBLE / lo)) FILTER (lo > cap), 6) worst FROM c GROUP BY cap""",
 )
 def cap_cost(spark: SparkSession, sf: str) -> DataFrame:
-    c = crops(spark, sf).select(F.greatest("w", "h").alias("lo"), F.least("w", "h").alias("sh"), F.explode(F.array(*[F.lit(x) for x in (128, 256, 384)])).alias("cap"))
-    over, after = F.col("lo") > F.col("cap"), F.col("sh") * (F.col("cap").cast("double") / F.col("lo"))
-    return c.groupBy("cap").agg(F.count_if(over).alias("touched"), F.count_if(over & (after < 64)).alias("short_after"), F.round(F.min(F.when(over, after)), 6).alias("worst"))
+    return profile.cap_cost(crops(spark, sf), F.greatest("w", "h"), F.least("w", "h"), (128, 256, 384), 64)
 
 
 @query("size_histogram", "SELECT floor(log2(n_chars) * 8)::BIGINT AS bin, count(*) n FROM documents WHERE n_chars > 0 GROUP BY ALL")
 def size_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("n_chars > 0").groupBy(F.floor(F.log2("n_chars") * 8).alias("bin")).agg(F.count("*").alias("n"))
+    return profile.log_histogram(table(spark, sf, "documents"), "n_chars")
 
 
 @query("auc_size", f"""{WITH}, r AS (SELECT least(w, h)::DOUBLE v, camera = 'L' p FROM crops), k AS (SELECT v, p, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 rk FROM r),
@@ -315,24 +307,18 @@ def auc_size(spark: SparkSession, sf: str) -> DataFrame:
 @query("size_match_sigma", f"""{WITH}, s AS (SELECT source, count(*)::DOUBLE n, avg((least(w, h) < 64)::INT)::DOUBLE p FROM crops GROUP BY ALL), t AS (SELECT avg((least(w, h) < 64)::INT)::DOUBLE p0, count(*)::DOUBLE n0 FROM crops)
 SELECT source, round(p - p0, 6) drift, round((p - p0) / sqrt(p0 * (1 - p0) / least(n, n0)), 4) sigma FROM s, t""")
 def size_match_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    c = crops(spark, sf).select("source", (F.least("w", "h") < 64).cast("double").alias("u"))
-    whole = c.agg(F.avg("u").alias("p0"), F.count("*").cast("double").alias("n0"))
-    own = c.groupBy("source").agg(F.avg("u").alias("p"), F.count("*").cast("double").alias("n")).join(F.broadcast(whole))  # one row
-    d = F.col("p") - F.col("p0")
-    return own.select("source", F.round(d, 6).alias("drift"), F.round(d / F.sqrt(F.col("p0") * (1 - F.col("p0")) / F.least("n", "n0")), 4).alias("sigma"))
+    return profile.share_drift(crops(spark, sf), "source", F.least("w", "h") < 64)
 
 
 @query("mixture_weights", f"""{WITH}, b AS (SELECT source, count(*)::DOUBLE boxes, count(DISTINCT deployment)::DOUBLE frames, avg((least(w, h) < 64)::INT)::DOUBLE under FROM crops GROUP BY ALL)
 SELECT round(sum(boxes * under) / sum(boxes), 6) by_boxes, round(sum(frames * under) / sum(frames), 6) by_frames FROM b""")
 def mixture_weights(spark: SparkSession, sf: str) -> DataFrame:
-    b = crops(spark, sf).groupBy("source").agg(F.count("*").alias("boxes"), F.count_distinct("deployment").alias("frames"), F.avg((F.least("w", "h") < 64).cast("double")).alias("under"))
-    return b.agg(*[F.round(F.sum(F.col(x) * F.col("under")) / F.sum(x), 6).alias(f"by_{x}") for x in ("boxes", "frames")])
+    return profile.mixture_shares(crops(spark, sf), "source", "deployment", F.least("w", "h") < 64)
 
 
 @query("geo_bins", "SELECT floor(lat)::BIGINT la, floor(lon)::BIGINT lo, count(*) n FROM images WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) GROUP BY ALL")
 def geo_bins(spark: SparkSession, sf: str) -> DataFrame:
-    i = table(spark, sf, "images").filter(G.valid_position(F.col("lat"), F.col("lon")))
-    return i.groupBy(F.floor("lat").alias("la"), F.floor("lon").alias("lo")).agg(F.count("*").alias("n"))
+    return profile.geo_bins(table(spark, sf, "images"), "lat", "lon")
 
 
 @query("taxon_buckets", "SELECT map_id, CASE WHEN coalesce(family, '') = '' THEN 'unknown' WHEN length(family) % 3 = 0 THEN 'other' WHEN length(family) % 3 = 1 THEN 'vertebrate' ELSE CASE WHEN genus IS NULL THEN 'unknown' ELSE 'invertebrate' END END bucket FROM fishwio")
@@ -359,8 +345,8 @@ def lineage_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("name_usage", "WITH e AS (SELECT 'genus' lvl, genus nm, aphia_id FROM worms_names WHERE genus IS NOT NULL UNION ALL SELECT 'family', family, aphia_id FROM worms_names WHERE family IS NOT NULL) SELECT lvl, nm, count(DISTINCT aphia_id) cats FROM e GROUP BY ALL")
 def name_usage(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "worms_names").select("aphia_id", F.explode(F.create_map(F.lit("genus"), F.col("genus"), F.lit("family"), F.col("family"))).alias("lvl", "nm")).filter("nm is not null")
-    return e.groupBy("lvl", "nm").agg(F.count_distinct("aphia_id").alias("cats"))
+    names = F.create_map(F.lit("genus"), F.col("genus"), F.lit("family"), F.col("family"))
+    return profile.name_usage(table(spark, sf, "worms_names"), "aphia_id", names).drop("crops")
 
 
 @query("day_of_year", "SELECT image_id, (make_date(year(taken_at), 1, 1) + (dayofyear(taken_at) - 1)::INT)::VARCHAR AS day FROM images WHERE taken_at IS NOT NULL")
@@ -378,8 +364,8 @@ def hemisphere_coords(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("split_labels", "SELECT crop_key, CASE WHEN grp = '' THEN 'ungrouped' WHEN EXISTS (SELECT 1 FROM dev_deployments d WHERE d.deployment = grp AND d.source = s.source) THEN 'dev' ELSE 'main' END \"label\" FROM split_crops s")
 def split_labels(spark: SparkSession, sf: str) -> DataFrame:
-    dev = table(spark, sf, "dev_deployments").select("source", F.col("deployment").alias("grp"), F.lit(True).alias("in_dev")).distinct()
-    return table(spark, sf, "split_crops").join(dev, ["source", "grp"], "left").select("crop_key", X.split_label(F.col("grp"), F.coalesce("in_dev", F.lit(False))).alias("label"))
+    dev = table(spark, sf, "dev_deployments").select("source", F.col("deployment").alias("grp"))
+    return profile.split_of(table(spark, sf, "split_crops"), dev, ["source", "grp"]).select("crop_key", X.split_label(F.col("grp"), F.col("in_dev")).alias("label"))
 
 
 @query("lock_labels", "SELECT crop_key, CASE WHEN lower(trim(coalesce(split, ''))) IN ('dev', 'ungrouped') THEN lower(trim(split)) WHEN sha256(grp) < '4' THEN 'lock' WHEN heldout_genus <> '' THEN 'heldout' ELSE 'train' END \"label\" FROM split_crops")
@@ -392,14 +378,40 @@ def lock_labels(spark: SparkSession, sf: str) -> DataFrame:
 round(100.0::DOUBLE * count(*) FILTER (verdict <> 'right') / count(*), 4) ceiling_pct, round(100.0::DOUBLE * count(*) FILTER (verdict = 'wrong') / nullif(count(*) FILTER (verdict <> 'unsure'), 0), 4) sure_pct FROM a GROUP BY source""")
 def audit_rates(spark: SparkSession, sf: str) -> DataFrame:
     first = F.substring(F.sha2("key", 256), 1, 1)
-    a = crops(spark, sf).select("source", F.when(first == "0", "wrong").when(first == "1", "unsure").otherwise("right").alias("v"))
-    wrong, sure = F.count_if(F.col("v") == "wrong"), F.count_if(F.col("v") != "unsure")
-    return a.groupBy("source").agg(F.count("*").alias("n"), F.round(100.0 * wrong / F.count("*"), 4).alias("floor_pct"), F.round(100.0 * F.count_if(F.col("v") != "right") / F.count("*"), 4).alias("ceiling_pct"), F.round(100.0 * wrong / F.nullif(sure, F.lit(0)), 4).alias("sure_pct"))
+    return profile.audit_rates(crops(spark, sf).select("source", F.when(first == "0", "wrong").when(first == "1", "unsure").otherwise("right").alias("v")), ["source"], "v")
 
 
 @query("sheet_paging", f"{WITH}, r AS (SELECT key, row_number() OVER (PARTITION BY source ORDER BY sha256('3:' || key), key) - 1 i, source FROM crops) SELECT key, source, (i // 30 + 1)::INT sheet, (i % 30)::INT place FROM r")
 def sheet_paging(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+    return profile.sheet_pages(crops(spark, sf), "source", "key", 30, 3)
 
-    i = F.row_number().over(Window.partitionBy("source").orderBy(hash_order(F.lit(3), F.col("key")), "key")) - 1
-    return crops(spark, sf).select("key", "source", i.alias("i")).select("key", "source", (F.floor(F.col("i") / 30) + 1).cast("int").alias("sheet"), (F.col("i") % 30).alias("place"))
+@query("audit_rates_by_size", f"""{WITH}, a AS (SELECT source, floor(log2(least(w, h)))::INT AS bin, species % 3 AS taxon, CASE l WHEN '0' THEN 'wrong' WHEN '1' THEN 'unsure' ELSE 'right' END verdict FROM (SELECT *, substr(sha256(key), 1, 1) l FROM crops)) SELECT bin, taxon, count(*) n, round(100.0::DOUBLE * count(*) FILTER (verdict = 'wrong') / count(*), 4) floor_pct,
+round(100.0::DOUBLE * count(*) FILTER (verdict <> 'right') / count(*), 4) ceiling_pct, round(100.0::DOUBLE * count(*) FILTER (verdict = 'wrong') / nullif(count(*) FILTER (verdict <> 'unsure'), 0), 4) sure_pct FROM a GROUP BY ALL""")
+def audit_rates_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.substring(F.sha2("key", 256), 1, 1)
+    a = crops(spark, sf).select(F.floor(F.log2(F.least("w", "h"))).cast("int").alias("bin"), (F.col("species") % 3).alias("taxon"), F.when(first == "0", "wrong").when(first == "1", "unsure").otherwise("right").alias("v"))
+    return profile.audit_rates(a, ["bin", "taxon"], "v")
+
+
+@query("depth_histogram", "WITH e AS (SELECT x::INT bin, x * 100.0::DOUBLE low, x * 100.0::DOUBLE + 100 high FROM range(20) r(x)) SELECT bin, low, high, count(depth_m) n FROM e LEFT JOIN images ON depth_m >= low AND depth_m < high GROUP BY ALL")
+def depth_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.edge_histogram(table(spark, sf, "images"), "depth_m", [100.0 * x for x in range(21)])
+
+
+@query("source_histograms", "SELECT source, 'camera' AS value, coalesce(camera, 'none') AS label, count(*) n FROM shard_records GROUP BY ALL UNION ALL SELECT source, 'crop_provenance', coalesce(crop_provenance, 'none'), count(*) FROM shard_records GROUP BY ALL UNION ALL SELECT source, 'build_no', coalesce(build_no::VARCHAR, 'none'), count(*) FROM shard_records GROUP BY ALL")
+def source_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.histogram_map(table(spark, sf, "shard_records"), "source", ["camera", "crop_provenance", "build_no"])
+
+
+@query("names_by_crops", "WITH u AS (SELECT aphia_id, count(*) w FROM fishwio GROUP BY 1), e AS (SELECT 'genus' lvl, genus nm, aphia_id FROM worms_names WHERE genus IS NOT NULL UNION ALL SELECT 'family', family, aphia_id FROM worms_names WHERE family IS NOT NULL) SELECT lvl, nm, count(DISTINCT e.aphia_id) cats, coalesce(sum(w), 0)::BIGINT crops FROM e LEFT JOIN u ON u.aphia_id = e.aphia_id GROUP BY ALL")
+def names_by_crops(spark: SparkSession, sf: str) -> DataFrame:
+    uses = table(spark, sf, "fishwio").filter("aphia_id is not null").groupBy("aphia_id").agg(F.count("*").alias("w"))
+    names = F.create_map(F.lit("genus"), F.col("genus"), F.lit("family"), F.col("family"))
+    return profile.name_usage(table(spark, sf, "worms_names").join(uses, "aphia_id", "left"), "aphia_id", names, "w")
+
+
+@query("gate_losses", f"""{WITH}, b AS (SELECT * FROM (VALUES (10), (20), (30)) c(min_crops), (VALUES (0), (2), (9)) g(min_groups)), p AS (SELECT species, count(*) n, count(DISTINCT deployment // 3) u, count(DISTINCT deployment) g, count(*) FILTER (survey <> 1) n2, count(DISTINCT deployment) FILTER (survey <> 1) g2 FROM crops GROUP BY species),
+x AS (SELECT min_crops, min_groups, n >= min_crops AND g >= min_groups a, u >= min_crops AND g >= min_groups au, n2 >= min_crops AND g2 >= min_groups z FROM p, b) SELECT min_crops, min_groups, count(*) FILTER (a) passed, count(*) FILTER (au) passed_units, count(*) FILTER (a AND NOT z) lost, round(count(*) FILTER (a) / nullif(count(*) FILTER (au), 0), 6) inflation FROM x GROUP BY ALL""")
+def gate_losses(spark: SparkSession, sf: str) -> DataFrame:
+    c = crops(spark, sf).withColumn("unit", F.floor(F.col("deployment") / 3))
+    return profile.gate_losses(c, c.filter("survey <> 1"), "species", "deployment", "unit", [10, 20, 30], [0, 2, 9])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
 from tidemark.functions import stats
-from tidemark.operators import decisions, graph, links, resolve, sampling, shards, vectors
+from tidemark.operators import decisions, graph, links, profile, resolve, sampling, shards, vectors
 from tidemark.plans.registry import query
 from tidemark.plans.rehosted import CROPS_SQL, RESULTS_SQL, SIGHTINGS_SQL, VECTORS_SQL, crops, results, sightings
 from tidemark.plans.rehosted import vectors as embedded
@@ -52,11 +52,7 @@ def track_deff(spark: SparkSession, sf: str) -> DataFrame:
 @query("gap_one_overlap", f"""{SEEN}, p AS (SELECT x, y, w, h, frame, lead(x) OVER k nx, lead(y) OVER k ny, lead(w) OVER k nw, lead(h) OVER k nh, lead(frame) OVER k nf FROM s WINDOW k AS (PARTITION BY video, taxon ORDER BY frame, ident)),
 q AS (SELECT (greatest(least(x + w, nx + nw) - greatest(x, nx), 0) * greatest(least(y + h, ny + nh) - greatest(y, ny), 0))::DOUBLE i, w * h + nw * nh u FROM p WHERE nf - frame = 1) SELECT count(*) n, round(avg(i / (u - i)), 6) mean_ratio FROM q""")
 def gap_one_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("video", "taxon").orderBy("frame", "ident")
-    s = sightings(spark, sf).select("frame", *BOX, *[F.lead(c).over(w).alias(f"n{c}") for c in ("frame", *BOX)]).filter("nframe - frame = 1")
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(G.iou([F.col(c) for c in BOX], [F.col(f"n{c}") for c in BOX])), 6).alias("mean_ratio"))
+    return profile.neighbour_overlap(sightings(spark, sf), ["video", "taxon"], "frame", "ident", BOX)
 
 
 @query("null_shuffle", f"""{SEEN}, a AS (SELECT ident, video, frame, row_number() OVER (PARTITION BY video ORDER BY ident) i FROM s), b AS (SELECT video, x, y, row_number() OVER (PARTITION BY video ORDER BY sha256('5:' || ident)) i FROM s) SELECT ident, a.video, frame, x, y FROM a JOIN b ON a.video = b.video AND a.i = b.i""")

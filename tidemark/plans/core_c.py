@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parsing as P
 from tidemark.functions.text import place_key
 from tidemark.operators import groups as R
+from tidemark.operators import profile
 from tidemark.plans.core_b import KM_SQL, PLACES_SQL, places
 from tidemark.plans.registry import query
 from tidemark.plans.rehosted import CROPS_SQL, crops
@@ -167,8 +168,7 @@ def relative_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("survey_composition", f"{WITH} SELECT source, count(*) FILTER (survey = 0) s0, count(*) FILTER (survey = 1) s1, count(*) FILTER (survey = 2) s2, count(*) FILTER (survey = 3) s3 FROM crops GROUP BY source")
 def survey_composition(spark: SparkSession, sf: str) -> DataFrame:
-    p = crops(spark, sf).groupBy("source").pivot("survey", [0, 1, 2, 3]).agg(F.count("key"))
-    return p.select("source", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"s{i}") for i in range(4)])
+    return profile.composition(crops(spark, sf), "source", "survey", range(4), "s")
 
 
 @query("place_keys", r"SELECT DISTINCT grp, replace(regexp_replace(trim(regexp_replace(concat(' ', regexp_replace(lower(trim(grp)), '[^a-z0-9]+', ' ', 'g')), '([^0-9])0+([0-9])', '\1\2', 'g')), '([0-9]) ([0-9])', '\1_\2', 'g'), ' ', '') AS key FROM split_crops WHERE grp <> ''")
