@@ -110,3 +110,29 @@ def test_html_and_vectors(spark, tmp_path):
     (folder / "done.json").write_text(json.dumps({}))
     got = {r["key"]: (r["token"], r["layer"], list(r["vec"])) for r in S.read_vectors(spark, str(tmp_path / "store")).collect()}
     assert got["k2"] == ("cls", "3", [2.0, 3.0]) and len(got) == 3
+
+
+@pytest.mark.parametrize(
+    "institution, path, tokens, rule, link, dive",
+    [
+        ("MBARI", "/static/m3/framegrabs/Doc Ricketts/images/0339/20130502T171717.png", ["MBARI:DocRicketts:D339"], "mbari_dive", None, ("MBARI:DocRicketts", "20130502")),
+        ("MBARI", "/static/m3/framegrabs/Doc Ricketts/images/0339/f.png", ["MBARI:DocRicketts:D339"], "mbari_dive", None, None),
+        ("MBARI", "/static/m3/framegrabs/i2MAP/images/20190304/f.png", ["MBARI:i2MAP:DATE:20190304"], "mbari_dated_folder", ("MBARI:i2MAP", "20190304"), None),
+        ("MBARI", "/static/m3/framegrabs/Ventana/images/46/x_20190101T0102.png", ["MBARI:Ventana:F46"], "mbari_unpadded", ("MBARI:Ventana", "20190101"), None),
+        ("MBARI", "/static/m3/framegrabs/Ventana/stills/2019/032/f.png", ["MBARI:Ventana:DATE:20190201"], "mbari_stills_day", ("MBARI:Ventana", "20190201"), None),
+        ("NOAA Ocean Exploration", "/v/EX1404_DIVE04_05/EX1404_VID_20140920_1.png", ["NOAA:EX1404:D4", "NOAA:EX1404:D5"], "noaa_dive_multi", None, ("NOAA:EX1404", "20140920")),
+        ("NOAA Ocean Exploration", "/v/EX1404_DIVE04/EX1405_DIVE1/EX1404_VID_20140920_1.png", ["NOAA:EX1404:D4", "NOAA:EX1405:D1"], "noaa_dive_multi", None, None),
+        ("NOAA Ocean Exploration", "/v/EX1404L2_VID_20140920T1.png", ["NOAA:EX1404L2:DATE:20140920"], "noaa_cruise_day", ("NOAA:EX1404L2", "20140920"), None),
+        ("Ocean Networks Canada", "/a/b_H1234/f.png", ["ONC:H1234"], "onc_dive", None, None),
+        ("Schmidt Ocean Institute", "/S0123_x/f.png", ["SOI:S123"], "soi_dive", None, None),
+        ("CENCOOS", "/whatever.png", ["INST:CENCOOS"], "institution_only", None, None),
+    ],
+)
+def test_address_parts(spark, institution, path, tokens, rule, link, dive):
+    got = one(spark, P.address_parts(F.lit(institution), F.lit(path)))
+    pair = lambda x: None if x is None else (x["space"], x["day"])
+    assert (got["tokens"], got["rule"], pair(got["link"]), pair(got["dive"])) == (tokens, rule, link, dive)
+
+
+def test_addresses_without_a_group(spark):
+    assert one(spark, P.address_parts(F.lit("NOAA Ocean Exploration"), F.lit("/x/f.png"))) is None and one(spark, P.address_parts(F.lit(None).cast("string"), F.lit("/x"))) is None and one(spark, P.address_parts(F.lit("OET"), F.lit(None).cast("string"))) is None

@@ -91,3 +91,20 @@ def test_streams(spark, tmp_path):
     assert run(lambda s: sessions.first_sightings(s, "i", "ts", "1 hour"), "append", "f").count() == 20
     assert sessions.sessions(df, "ts", ["u"], "3 minutes").count() == 2
     assert {r["u"]: r["largest"] for r in run(lambda s: sessions.running_largest(s, "u", "value"), "update", "r").collect()} == {"u0": 18.0, "u1": 19.0}
+
+
+def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    import json
+
+    from tidemark.sources import collation
+
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"i": i, "pad": "x" * 200}) + "\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [r["i"] for r in collation.read_lines(spark, f"file://{tmp_path}/a.jsonl", "i int, pad string", step=7).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == list(range(0, 2000, 7))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -162,27 +163,89 @@ def address_group(institution: Column, path: Column, rules: tuple[AddressRule, .
     return out
 
 
+# fixed value: frames stored by year and day of year
+STILLS = r"^/static/[^/]+/framegrabs/([^/]+)/stills/(\d{4})/(\d{1,3})/.*$"
+
+
 def stills_day(path: Column) -> Column:
     """Token of ``framegrabs/<vehicle>/stills/<year>/<day of year>/...``: the vehicle and the date; null otherwise."""
-    pattern = r"^/static/[^/]+/framegrabs/([^/]+)/stills/(\d{4})/(\d{1,3})/.*$"
+    pattern = STILLS
     day = F.date_add(F.make_date(F.regexp_extract(path, pattern, 2).try_cast("int"), F.lit(1), F.lit(1)), F.regexp_extract(path, pattern, 3).try_cast("int") - 1)
     return F.when(path.rlike(pattern), F.concat(F.lit("MBARI:"), F.regexp_replace(F.regexp_extract(path, pattern, 1), " ", ""), F.lit(":DATE:"), F.date_format(day, "yyyyMMdd")))
 
 
+# fixed values: how cruises and dives are written in paths and file names, and dates in file names
+DIVES, OTHER_DIVES = r"(EX\d{4}(?:L\d)?_DIVE\d+(?:_\d+)*)", r"D\d-(EX\d{4}(?:L\d)?-\d+)"
+CRUISE_DAY = r"EX(\d{4}(?:L\d)?)_VID_(\d{8})"
+FILE_DAY = r"(?<!\d)((?:19|20)\d{6})T\d{4,6}"
+# fixed values: institutions' names and the short form that the rules use; institutions whose frames are one group
+INSTITUTIONS = {"Schmidt Ocean Institute": "SOI", "Universidad de Costa Rica and Schmidt Ocean Institute": "SOI", "Ocean Networks Canada": "ONC", "ONCS": "ONC"}
+ONE_GROUP = ("Joost Daniels", "CENCOOS", "POSCO", "UW NSF-OOI CSSF", "UW NSF-OOI WHOI", "UniOfPlym")
+
+
 def dive_tokens(path: Column) -> Column:
     """array<string>: cruise and dive tokens of ``EX1404_DIVE04_05`` (dives 4 and 5) and ``D2-EX1404-07``, ascending."""
-    listed = F.regexp_extract_all(path, F.lit(r"(EX\d{4}(?:L\d)?_DIVE\d+(?:_\d+)*)"), F.lit(1))
+    listed = F.regexp_extract_all(path, F.lit(DIVES), F.lit(1))
 
     def tokens(t: Column) -> Column:
         cruise = F.regexp_extract(t, r"^(EX\d{4}(?:L\d)?)_", 1)
         numbers = F.split(F.regexp_extract(t, r"_DIVE(.+)$", 1), "_")
         return F.transform(numbers, lambda n: F.concat(F.lit("NOAA:"), cruise, F.lit(":D"), n.cast("int").cast("string")))
 
-    other = F.regexp_extract_all(path, F.lit(r"D\d-(EX\d{4}(?:L\d)?-\d+)"), F.lit(1))
+    other = F.regexp_extract_all(path, F.lit(OTHER_DIVES), F.lit(1))
     short = F.transform(other, lambda t: F.concat(F.lit("NOAA:"), F.split(t, "-")[0], F.lit(":D"), F.split(t, "-")[1].cast("int").cast("string")))
     return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(listed, tokens)), short)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def address_parts(institution: Column, path: Column) -> Column:
+    """struct(tokens, rule, level, reliable, link, dive): the groups that a decoded address path names; null for none.
+
+    link is struct(space, day) for frames that only their day can attach to a
+    dive; dive the same for a reliable dive, so that others can be attached to
+    it.  A day stands in the file name, or is the folder itself.
+    """
+    short = F.lit(None).cast("string")
+    for name, code in INSTITUTIONS.items():
+        short = F.when(institution == name, F.lit(code)).otherwise(short)
+    inst = F.coalesce(short, institution)
+    file = F.element_at(F.split(path, "/"), -1)
+    day = F.nullif(F.regexp_extract(file, FILE_DAY, 1), F.lit(""))
+    cruise, cruise_day = F.regexp_extract(file, CRUISE_DAY, 1), F.nullif(F.regexp_extract(file, CRUISE_DAY, 2), F.lit(""))
+    pair = lambda space, d: F.when(d.isNotNull(), F.struct(space.alias("space"), d.alias("day")))
+    none = F.lit(None).cast("struct<space:string,day:string>")
+
+    def part(tokens: Column, rule: Column, level: Column, reliable: Column, link: Column, dive: Column) -> Column:
+        return F.struct(tokens.alias("tokens"), rule.alias("rule"), level.alias("level"), reliable.alias("reliable"), link.alias("link"), dive.alias("dive"))
+
+    noaa_space = F.concat(F.lit("NOAA:EX"), cruise)
+    space = lambda token: F.concat_ws(":", F.slice(F.split(token, ":"), 1, 2))
+    last = lambda token: F.element_at(F.split(token, ":"), -1)
+
+    def of_noaa(dives: Column) -> Column:
+        cruises = F.array_distinct(F.transform(dives, lambda t: F.split(t, ":")[1]))
+        known = part(dives, F.when(F.size(dives) > 1, "noaa_dive_multi").otherwise("noaa_dive"), F.lit("dive"), F.lit(True), none, F.when(F.size(cruises) == 1, pair(F.concat(F.lit("NOAA:"), F.try_element_at(cruises, F.lit(1))), cruise_day)))
+        day_only = part(F.array(F.concat(noaa_space, F.lit(":DATE:"), cruise_day)), F.lit("noaa_cruise_day"), F.lit("date"), F.lit(False), pair(noaa_space, cruise_day), none)
+        return F.when(F.size(dives) > 0, known).when(cruise_day.isNotNull(), day_only)
+
+    def of_stills(token: Column) -> Column:
+        return F.when(token.isNotNull(), part(F.array(token), F.lit("mbari_stills_day"), F.lit("date"), F.lit(False), pair(space(token), last(token)), none))
+
+    def of_rule(g: Column) -> Column:
+        token, rule = g["token"], g["rule"]
+        link = F.when(rule == "mbari_dated_folder", pair(space(token), last(token))).when(rule == "mbari_unpadded", pair(space(token), day))
+        dive = F.when(rule.isin("mbari_dive", "mbari_dive_rehosted"), pair(space(token), day))
+        return F.when(g.isNotNull(), part(F.array(token), rule, g["level"], g["reliable"], link, dive))
+
+    alone = part(F.array(F.concat(F.lit("INST:"), institution)), F.lit("institution_only"), F.lit("institution"), F.lit(True), none, none)
+    ruled = F.coalesce(F.when(inst == "MBARI", let(stills_day(path), of_stills)), let(address_group(inst, path), of_rule))
+    return F.when(institution.isin(*ONE_GROUP), alone).when(inst == "NOAA Ocean Exploration", let(dive_tokens(path), of_noaa)).otherwise(ruled)
+
+
 def suspect_concept(concept: Column, rank: Column) -> Column:
     """A concept in small letters that resolved to a genus or species: probably a common word."""
     return F.substring(concept, 1, 1).rlike("[a-z]") & rank.isin("Genus", "Species", "Subspecies")

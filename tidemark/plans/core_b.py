@@ -29,6 +29,15 @@ def islands_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("video", "taxon", "track").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
+@query("islands_overlap", f"""{SEEN}, p AS (SELECT *, lag(frame) OVER k pf, lag(x) OVER k px, lag(y) OVER k py, lag(w) OVER k pw, lag(h) OVER k ph FROM s WINDOW k AS (PARTITION BY video, taxon ORDER BY frame, ident)),
+q AS (SELECT *, (greatest(least(x + w, px + pw) - greatest(x, px), 0) * greatest(least(y + h, py + ph) - greatest(y, py), 0))::DOUBLE i FROM p), t AS (SELECT video, taxon, sum(CASE WHEN frame - pf <= 30 AND i / (w * h + pw * ph - i) > 0.2 THEN 0 ELSE 1 END) OVER (PARTITION BY video, taxon ORDER BY frame, ident) track FROM q)
+SELECT video, taxon, track::BIGINT track, count(*) n FROM t GROUP BY ALL""")
+def islands_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    s = sightings(spark, sf).select("video", "taxon", "frame", "ident", *BOX)
+    linked = G.iou([F.col(c) for c in BOX], [F.col(f"prev_{c}") for c in BOX]) > 0.2
+    return links.islands(s, ["video", "taxon"], "frame", 30, linked).groupBy("video", "taxon", "track").agg(F.count("*").alias("n"))
+
+
 @query("range_pairs", f"""{SEEN} SELECT a.ident a, b.ident b, b.frame - a.frame delta, round({RATIO_SQL}, 6) ratio FROM s a JOIN s b ON a.video = b.video AND a.taxon = b.taxon AND b.frame - a.frame BETWEEN 1 AND 12""")
 def range_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = links.range_pairs(sightings(spark, sf), ["video", "taxon"], "frame", "ident", 12, list(BOX))

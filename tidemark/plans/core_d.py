@@ -390,3 +390,25 @@ def smallest_cover(spark: SparkSession, sf: str) -> DataFrame:
     counts = crops(spark, sf).groupBy(F.col("deployment").alias("group"), F.col("genus").alias("taxon"), F.when(F.col("source") == "N", "a").otherwise("b").alias("stage")).agg(F.count("*").alias("units"))
     picked = resolve.staged_cover(counts, ["a", "b"], {"a": 4, "b": 3}, 12, [(3, 2)])
     return spark.createDataFrame([(i, s, int(g), float(x), int(u)) for i, (s, g, x, u) in enumerate(picked)], "step int, stage string, deployment long, gain double, usable long")
+
+
+ADDRESS_SQL = """a AS (SELECT image_id i, (image_id % 5)::INT k, (2000 + image_id % 20)::VARCHAR || lpad((1 + image_id % 12)::VARCHAR, 2, '0') || '15' d, lpad((image_id % 9000)::VARCHAR, 4, '0') f, 'EX' || (1200 + image_id % 50) c FROM images)"""
+
+
+@query("address_links", f"""WITH {ADDRESS_SQL} SELECT DISTINCT i AS image_id, CASE k WHEN 0 THEN 'MBARI:DocRicketts:D' || (f::INT) WHEN 1 THEN 'MBARI:i2MAP:DATE:' || d WHEN 2 THEN 'NOAA:' || c || ':D' || (i % 12) WHEN 3 THEN 'NOAA:' || c || ':DATE:' || d END AS token,
+CASE k WHEN 1 THEN 'MBARI:i2MAP' WHEN 3 THEN 'NOAA:' || c END AS link_space, CASE k WHEN 0 THEN 'MBARI:DocRicketts' WHEN 2 THEN 'NOAA:' || c END AS dive_space, CASE WHEN k < 4 THEN d END AS day FROM a""")
+def address_links(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.functions.parsing import address_parts
+
+    i = F.col("image_id")
+    d = F.concat((2000 + i % 20).cast("string"), F.lpad((1 + i % 12).cast("string"), 2, "0"), F.lit("15"))
+    folder, cruise = F.lpad((i % 9000).cast("string"), 4, "0"), F.concat(F.lit("EX"), 1200 + i % 50)
+    paths = (
+        F.concat(F.lit("/static/m3/framegrabs/Doc Ricketts/images/"), folder, F.lit("/cam_"), d, F.lit("T010203.png")), F.concat(F.lit("/static/m3/framegrabs/i2MAP/images/"), d, F.lit("/f.png")),
+        F.concat(F.lit("/v/"), cruise, F.lit("_DIVE"), F.lpad((i % 12).cast("string"), 2, "0"), F.lit("/"), cruise, F.lit("_VID_"), d, F.lit(".png")), F.concat(F.lit("/v/"), cruise, F.lit("_VID_"), d, F.lit(".png")),
+    )
+    path = F.lit("/none.png")
+    for k, p in enumerate(paths):
+        path = F.when(i % 5 == k, p).otherwise(path)
+    rows = table(spark, sf, "images").select("image_id", address_parts(F.when(i % 5 < 2, "MBARI").otherwise("NOAA Ocean Exploration"), path).alias("a"))
+    return rows.select("image_id", F.element_at("a.tokens", 1).alias("token"), F.col("a.link.space").alias("link_space"), F.col("a.dive.space").alias("dive_space"), F.coalesce("a.link.day", "a.dive.day").alias("day")).distinct()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schema as S
+from tidemark.operators.ranks import placed
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -47,14 +48,15 @@ def problems(tables: dict[str, DataFrame]) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | str, step: int = 1, limit: int | None = None) -> DataFrame:
     """Every step-th complete record of JSON lines files in file and line order; torn lines are skipped.
 
-    Line order is the byte order within a file, kept by numbering whole files.
+    Line order is the byte order within a file: the start of the block that a
+    task reads, then the order within it, however many blocks a file is read in.
     """
-    text = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    parsed = text.select("file", "line", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).filter(F.coalesce(F.size(F.array_compact(F.array(*[F.col(f"r.{n}").cast("string") for n in (schema.fieldNames() if not isinstance(schema, str) else T._parse_datatype_string(schema).fieldNames())]))), F.lit(0)) > 0)
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    parsed = text.select("file", "block", "line", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).filter(F.coalesce(F.size(F.array_compact(F.array(*[F.col(f"r.{n}").cast("string") for n in (schema.fieldNames() if not isinstance(schema, str) else T._parse_datatype_string(schema).fieldNames())]))), F.lit(0)) > 0)
     if step == 1 and limit is None:
         return parsed.select("r.*")
-    numbered = parsed.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).filter(F.pmod("n", F.lit(step)) == 0)
-    picked = numbered.orderBy("file", "line")
+    numbered = placed(parsed, ["file"], ["block", "line"], "n").filter(F.pmod(F.col("n") - 1, F.lit(step)) == 0)
+    picked = numbered.orderBy("file", "n")
     return (picked.limit(limit) if limit is not None else picked).select("r.*")
 
 
