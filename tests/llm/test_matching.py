@@ -62,3 +62,10 @@ def test_image_groups(spark, rows):
 def test_empty(spark):
     images = spark.createDataFrame([], "image_id long, frame_url string")
     assert M.image_groups(spark, images, spark.createDataFrame([], "frame_url_a string, frame_url_b string")).count() == 0
+
+
+def test_hub_of_short_and_long_spokes(spark, rows):
+    """A hub whose leaves and spokes leave in different rounds; it has no label of its own until they are restored."""
+    edges = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 200)] + [(1000 + i, 2000 + i) for i in range(1, 100)]
+    got = rows(M.grouped(spark.createDataFrame(edges, "a long, b long")), "v", "root")
+    assert got == sorted((v, 0) for v in {x for e in edges for x in e})

@@ -18,7 +18,8 @@ from tidemark.operators.graph import both_ways, components
 from tidemark.session import Scratch
 
 ROUNDS = 12  # most reduction rounds; whatever remains is solved as the core
-WORTH = 0.05  # a round that removes a smaller share of the vertices is the last
+WORTH = 0.05  # a round after which a smaller share of the edges is gone is the last
+AT_ONCE = 2  # rounds whose labels are restored per written table
 
 
 def removable(edges: DataFrame, k: int) -> DataFrame:
@@ -54,27 +55,29 @@ def grouped(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if not left:
             break
         removed = scratch.save(removable(live, k), f"removed-{k}")
-        n = removed.count()
         gone = removed.select("v")
         rest = live.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b")
         bridges = removed.filter("n2 is not null").select(F.col("n1").alias("a"), F.col("n2").alias("b"))
         live = scratch.save(rest.union(bridges).distinct(), f"live-{k + 1}")
         scratch.drop(f"live-{k}")
         taken.append(removed)
-        left = live.count()
-        if n < WORTH * (left + n):
+        before, left = left, live.count()  # every vertex that leaves takes an edge with it
+        if before - left < WORTH * before:
             break
     labels = components(live, "core").withColumnRenamed("root", "c")
     for k, removed in reversed(list(enumerate(taken))):
         # a neighbour without a label was left alone by the rounds after this one: it stands for its own component
-        need = removed.select("v", F.col("n1").alias("n"))
         known = labels.select(F.col("v").alias("n"), "c")
-        restored = need.join(known, "n", "left").select("v", F.coalesce("c", "n").alias("c"))
-        alone = need.join(known, "n", "left_anti").select(F.col("n").alias("v"), F.col("n").alias("c")).distinct()
-        labels = scratch.save(labels.unionByName(restored).unionByName(alone), f"labels-{k}")
-        scratch.drop(f"removed-{k}")
-        if k + 1 < len(taken):
-            scratch.drop(f"labels-{k + 1}")
+        met = removed.select("v", F.col("n1").alias("n")).join(known, "n", "left")
+        alone = F.when(F.col("c").isNull(), F.struct(F.col("n").alias("v"), F.col("n").alias("c")))
+        restored = met.select(F.inline(F.array_compact(F.array(F.struct("v", F.coalesce("c", "n").alias("c")), alone))))
+        # a vertex that a million neighbours found alone must not meet its next million in as many rows
+        labels = labels.unionByName(restored.distinct())
+        if k % AT_ONCE == 0:
+            labels = scratch.save(labels, f"labels-{k}")
+            for j in range(k, min(k + AT_ONCE, len(taken))):
+                scratch.drop(f"removed-{j}")
+            scratch.drop(f"labels-{k + AT_ONCE}")
     least = labels.groupBy("c").agg(F.min("v").alias("root"))
     return labels.join(least, "c").select("v", "root")
 
