@@ -150,7 +150,13 @@ def grid_sites(points: DataFrame, ident: str, lat: str, lon: str, radius_km: flo
     own = p.join(held.select("r", "c", "cell"), ["r", "c"]).select("cell", "la", "lo")
     one, other = own.select(F.col("cell").alias("a"), F.col("la").alias("la1"), F.col("lo").alias("lo1")), own.select(F.col("cell").alias("b"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
     met = open_.join(one, "a").join(other, "b").filter(haversine_km(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")) <= radius_km).select("a", "b").distinct()
-    sites = components(sure.unionByName(met), "sites-all").select(F.col("v").alias("cell"), F.col("root").alias("site"))
+    met = scratch.save(met, "met")
+    # links between sites found already: these are few, and so are their roots
+    upper = components(met.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "sites-all") if met.limit(1).count() else None
+    sites = found.select(F.col("v").alias("cell"), F.col("root").alias("site"))
+    if upper is not None:
+        of_cells = held.select("cell").join(sites, "cell", "left").select("cell", F.coalesce("site", "cell").alias("v"))
+        sites = of_cells.join(upper, "v", "left").select("cell", F.coalesce("root", "v").alias("site"))
     of = p.join(held.select("r", "c", "cell"), ["r", "c"]).join(sites, "cell", "left").select("i", F.coalesce("site", "cell").alias("site"))
     return points.select(F.col(ident).alias("i")).join(of.distinct(), "i", "left").select(F.col("i").alias(ident), F.coalesce("site", "i").alias("site"))
 
