@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import chunks
+
 # fixed values: encodings that texts were written in, and that they were read as
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp852", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "mac_roman", "cp850", "cp437")
 READ = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "mac_roman", "cp437", "cp850", "cp852")
@@ -30,7 +32,6 @@ TWICE = (("utf-8", "latin-1"), ("utf-8", "cp1252"))  # chains that are also appl
 BUCKETS = 1 << 15
 PAIRS = 1 << 20  # hashed pairs of characters
 HELD_WORDS = 50_000  # words whose inversions a task keeps
-CHUNK = 1 << 20  # characters that are looked at together
 SAMPLE_DOCS = 6000  # bound of the labelled sample
 SAMPLE_CHARS = 20_000  # longer texts are not sampled, so the sample stays under 120 MB (they are repaired like all others)
 SAMPLE_SEGMENTS = 2500  # correct sentences that are garbled for training
@@ -486,10 +487,8 @@ def restore(spark: SparkSession, documents: DataFrame, model: Model | None = Non
         m = shared.value
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            cuts = np.cumsum([len(t) for t in texts]) // CHUNK
-            for c in np.unique(cuts):
-                at = np.flatnonzero(cuts == c)
-                found = [(ids[i], *x) for i, x in zip(at, restore_texts(m, [texts[i] for i in at]), strict=True) if x[2]]
+            for part in chunks(texts):
+                found = [(i, *x) for i, x in zip(ids[part], restore_texts(m, texts[part]), strict=True) if x[2]]
                 lost = [LOST in restored or any(u.endswith("lost") for u in used) for _, restored, used, _ in found]
                 columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array(lost, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "restored", "chains", "lost"])

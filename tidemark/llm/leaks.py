@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import chunks
 from tidemark.session import Scratch
 
 WORDS = 30  # consecutive words of the item that must be repeated
@@ -337,6 +338,24 @@ def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFr
     return out.select("doc_id", "item_id", "b.shared", "b.words", (-F.col("b.e")).alias("edits"), "b.kind")
 
 
+def meeting(texts: list[str], ids: list[int], known: np.ndarray, vocabulary: Vocabulary) -> list[tuple]:
+    """(id, text, keys, slots) of the texts with windows at MATCHES places or more that the filter knows."""
+    text, position, key, slots = windows(texts, vocabulary)
+    at, bits = filter_places(key, len(known))
+    hit = (known[at] & bits) == bits
+    text, position, key, slots = (x[hit] for x in (text, position, key, slots))
+    # windows at fewer than MATCHES places are no case
+    places = np.bincount(np.unique(np.stack([text, position]), axis=1)[0], minlength=len(texts)) if len(text) else np.zeros(len(texts), int)
+    order = np.argsort(text, kind="stable")
+    cut = np.searchsorted(text[order], np.arange(len(texts) + 1))
+    rows = []
+    for i in np.flatnonzero(places >= MATCHES):
+        mine = order[cut[i] : cut[i + 1]]
+        both = np.unique(np.stack([key[mine], slots[mine]]), axis=1)
+        rows.append((ids[i], texts[i], both[0].tolist(), both[1].tolist()))
+    return rows
+
+
 def _pairs(spark: SparkSession, scratch: Scratch, documents: DataFrame, items: DataFrame, own: DataFrame, kinds: dict[str, str], tag: str) -> DataFrame:
     keys = own.select("key").distinct()
     shared_filter = spark.sparkContext.broadcast(key_filter(keys, keys.count()))  # at most FILTER_WORDS
@@ -344,21 +363,9 @@ def _pairs(spark: SparkSession, scratch: Scratch, documents: DataFrame, items: D
     def hash_documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, vocabulary = shared_filter.value, Vocabulary(kinds)
         for frame in frames:
-            texts = frame["text"].tolist()
-            text, position, key, slots = windows(texts, vocabulary)
-            at, bits = filter_places(key, len(known))
-            hit = (known[at] & bits) == bits
-            text, position, key, slots = (x[hit] for x in (text, position, key, slots))
-            # windows at fewer than MATCHES places are no case
-            places = np.bincount(np.unique(np.stack([text, position]), axis=1)[0], minlength=len(texts)) if len(text) else np.zeros(len(texts), int)
-            rows = []
-            order = np.argsort(text, kind="stable")
-            cut = np.searchsorted(text[order], np.arange(len(texts) + 1))
-            for i in np.flatnonzero(places >= MATCHES):
-                mine = order[cut[i] : cut[i + 1]]
-                both = np.unique(np.stack([key[mine], slots[mine]]), axis=1)
-                rows.append((frame["doc_id"].iat[i], texts[i], both[0].tolist(), both[1].tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_text", "k", "s"])
+            every, ids = frame["text"].tolist(), frame["doc_id"].tolist()
+            for part in chunks(every):
+                yield pd.DataFrame(meeting(every[part], ids[part], known, vocabulary), columns=["doc_id", "doc_text", "k", "s"])
 
     texts = documents.filter("doc_id is not null and length(text) > 0").select("doc_id", "text")
     candidates = scratch.save(texts.mapInPandas(hash_documents, "doc_id long, doc_text string, k array<long>, s array<long>"), f"candidates-{tag}")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import snake_name
+from tidemark.llm.batches import chunks
 from tidemark.operators.joins import lookup_join
 from tidemark.session import Scratch
 
@@ -58,9 +59,13 @@ def tokenise(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(SparkFiles.get(name))
         for batch in batches:
-            tokens = [enc.encode_ordinary(t) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())), pa.array([len(t) for t in tokens], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["source", "doc_id", "tokens", "n"])
+            texts = batch.column(2).to_pylist()
+            for part in chunks(texts):
+                tokens = [np.array(enc.encode_ordinary(t), np.int32) for t in texts[part]]
+                sizes = np.array([len(t) for t in tokens], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(tokens)))
+                own = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, pa.array(sizes)], names=["source", "doc_id", "tokens", "n"])
 
     named = documents.filter("doc_id is not null and length(text) > 0").select(snake_name("source").alias("source"), "doc_id", "text").filter("source is not null")
     return named.mapInArrow(run, "source string, doc_id long, tokens array<int>, n long")
