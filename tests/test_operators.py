@@ -270,3 +270,28 @@ def test_predictions_in_blocks(spark, rows, monkeypatch):
             assert rows(vectors.predictions(queries, made, "id", "label", "v", own), "id", "label", "predicted") == whole
         assert 195 < len(whole) <= 201
     assert vectors.predictions(queries, made.filter("false"), "id", "label", "v").count() == 0
+
+
+def test_totals_and_percentiles_by_ranges(spark, rows, monkeypatch):
+    from tidemark.operators import ranks
+
+    rng = random.Random(4)
+    data = [(g, rng.randint(0, 40), i) for g, n in (("a", 300), ("b", 7), ("c", 1), (None, 20)) for i in range(n)] + [("a", None, 999), ("d", None, 1000)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(4)
+    key = lambda r: (str(r["g"]), r["i"])
+
+    def totals():
+        return {key(r): r["t"] for r in ranks.total_before(df, ["g"], ["i"], F.col("v"), "t").collect()}
+
+    want = {}
+    for g in {x[0] for x in data}:
+        run = 0
+        for _, v, i in sorted((x for x in data if x[0] == g), key=lambda x: x[2]):
+            want[str(g), i] = run
+            run += v or 0
+    exact = {str(r["g"]): r["p"] for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.3)).alias("p")).collect() if r["p"] is not None}
+    mine = lambda: {str(r["g"]): r["p"] for r in ranks.percentile(df, ["g"], "v", 0.3, "p").collect()}
+    assert totals() == want and mine() == pytest.approx(exact)
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 20)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 16)
+    assert totals() == want and mine() == pytest.approx(exact)

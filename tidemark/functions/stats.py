@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import total_before
+
 
 def _position(kind: str, n: Column, q: float) -> Column:
     return {
@@ -45,12 +47,11 @@ def percentile_table(rows: DataFrame, keys: list[str], value: str, q: float) ->
 def auc(rows: DataFrame, value: str, positive: str) -> DataFrame:
     """auc, folded, n_positive, n_negative: Mann-Whitney with ties counted half.
 
-    Works on counts of distinct values, so no sort of all rows is needed beyond
-    that of the distinct values.
+    Works on counts of distinct values, whose running totals come from ranges.
     """
     counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = counts.withColumn("wins", F.col("p") * (below + F.col("q") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    below = total_before(counts, [], ["v"], F.col("q"), "below")
+    s = below.withColumn("wins", F.col("p") * (F.col("below") + F.col("q") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     a = F.round(F.try_divide("w", F.col("np") * F.col("nq")), 6)
     return s.select(a.alias("auc"), F.greatest(a, 1 - a).alias("folded"), F.col("np").cast("long").alias("n_positive"), F.col("nq").cast("long").alias("n_negative"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import haversine_km, iou
 from tidemark.operators.graph import components
-from tidemark.operators.ranks import placed
+from tidemark.operators.ranks import percentile, placed
 from tidemark.session import Scratch
 
 
@@ -163,10 +163,10 @@ def grid_sites(points: DataFrame, ident: str, lat: str, lon: str, radius_km: flo
 
 def spread(points: DataFrame, group: str, lat: str, lon: str) -> DataFrame:
     """group, n, centre_lat, centre_lon, p95_km: distances from the median position (upper median, value at int(0.95 n))."""
-    centre = points.groupBy(group).agg(F.count("*").alias("n"), F.percentile(lat, F.lit(0.5)).alias("centre_lat"), F.percentile(lon, F.lit(0.5)).alias("centre_lon"))
+    sizes = points.groupBy(group).agg(F.count("*").alias("n"))
+    centre = sizes.join(percentile(points, [group], lat, 0.5, "centre_lat"), group).join(percentile(points, [group], lon, 0.5, "centre_lon"), group)
     far = points.join(centre, group).select(group, haversine_km(F.col(lat), F.col(lon), F.col("centre_lat"), F.col("centre_lon")).alias("km"))
-    p95 = far.groupBy(group).agg(F.percentile("km", F.lit(0.95)).alias("p95_km"))
-    return centre.join(p95, group).select(group, "n", "centre_lat", "centre_lon", F.round("p95_km", 4).alias("p95_km"))
+    return centre.join(percentile(far, [group], "km", 0.95, "p95_km"), group).select(group, "n", "centre_lat", "centre_lon", F.round("p95_km", 4).alias("p95_km"))
 
 
 def out_of_order(rows: DataFrame, key: str, order: str, value: str, slack: float) -> DataFrame:

@@ -9,10 +9,10 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import placed
+from tidemark.operators.ranks import total_before
 
 
 def _open(spark: SparkSession, path: str):
@@ -77,13 +77,8 @@ def shard_numbers(rows: DataFrame, source: str, key: str, size: str, target_byte
     The running totals of a hot source come from those of ranges of keys, so
     no task holds a source; a null size counts as 0.
     """
-    n = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    place = placed(rows, [source], [key], "_rn").withColumn("_range", F.floor((F.col("_rn") - 1) / 100_000))
-    per = place.groupBy(source, "_range").agg(F.sum(n).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(source).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per.select(source, "_range", before.alias("_before"))
-    within = F.coalesce(F.sum(n).over(Window.partitionBy(source, "_range").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return place.withColumn("_within", within).join(starts, [source, "_range"]).withColumn("shard", F.floor((F.col("_before") + F.col("_within")) / target_bytes).cast("int")).select(*rows.columns, "shard")
+    before = total_before(rows, [source], [key], F.col(size).cast("long"), "_before")
+    return before.withColumn("shard", F.floor(F.col("_before") / target_bytes).cast("int")).drop("_before")
 
 
 def write_shards(rows: DataFrame, out: str, prefix: str, source: str, key: str, payload: str, meta: Column, target_bytes: int, suffix: str = "jpg") -> DataFrame:
