@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import placed
@@ -57,15 +57,8 @@ def dense_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def upsert(held: DataFrame, new: DataFrame, key: str, id_column: str) -> DataFrame:
-    """held plus those rows of new whose key it lacks, numbered on from its largest id in key order.
-
-    Numbering goes by exact counts of 256 key-hash ranges, so no task sees all
-    new rows; running it again adds nothing.
-    """
-    fresh = new.dropDuplicates([key]).join(held.select(key), key, "left_anti").withColumn("_r", F.pmod(F.xxhash64(key), F.lit(256)).cast("int"))
-    start = held.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("start"))
-    before = fresh.groupBy("_r").agg(F.count("*").alias("c"))
-    before = before.select("_r", F.coalesce(F.sum("c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 256 rows
-    numbered = fresh.join(F.broadcast(before), "_r").join(F.broadcast(start))
-    rn = F.row_number().over(Window.partitionBy("_r").orderBy(key))
-    return held.unionByName(numbered.withColumn(id_column, (F.col("start") + F.col("before") + rn).cast(held.schema[id_column].dataType)).select(*held.columns))
+    """held plus those rows of new whose key it lacks, numbered on from its largest id in key order; running it again adds nothing."""
+    fresh = placed(new.dropDuplicates([key]).join(held.select(key), key, "left_anti"), [], [key], "_n")
+    start = held.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("start"))  # one row
+    numbered = fresh.join(F.broadcast(start)).withColumn(id_column, (F.col("start") + F.col("_n")).cast(held.schema[id_column].dataType))
+    return held.unionByName(numbered.select(*held.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry as G
 from tidemark.functions import stats
 from tidemark.functions import taxa as X
-from tidemark.functions.text import hash_order, norm, seed64, uid, url_name
+from tidemark.functions.text import norm, seed64, uid, url_name
 from tidemark.operators import integrity, profile, units
 from tidemark.plans.rehosted import CROPS_SQL, crops
 from tidemark.plans.registry import query
