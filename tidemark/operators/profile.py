@@ -138,3 +138,30 @@ def gate_losses(before: DataFrame, after: DataFrame, taxon: str, group: str, uni
     at = F.coalesce("after_crops", F.lit(False))
     out = both.groupBy("min_crops", "min_groups").agg(F.count_if("before_crops").alias("passed"), F.count_if("before_units").alias("passed_units"), F.count_if(F.col("before_crops") & ~at).alias("lost"))
     return out.withColumn("inflation", F.round(F.try_divide(F.col("passed"), F.col("passed_units")), 6))
+
+
+def testable_table(drawn: DataFrame, taxon: str, group: str, key: str, details: DataFrame, source: str) -> DataFrame:
+    """taxon, sources, n_crops, n_groups of the records that a draw (taxon, group, key) uses; details gives each key's source."""
+    own = drawn.select(taxon, group, key).distinct().join(details.select(key, source).distinct(), key)
+    return own.groupBy(taxon).agg(F.array_join(F.array_sort(F.collect_set(source)), "|").alias("sources"), F.count_distinct(key).alias("n_crops"), F.count_distinct(source, group).alias("n_groups"))  # at most one element per source
+
+
+def shared_examples(rows: DataFrame, taxon: str, source: str, key: str, first: object, second: object, taxa: int, each: int = 3) -> DataFrame:
+    """place, taxon, source, key: the taxa with ``each`` records in both sources and most in the scarcer one, with evenly strided records.
+
+    The number of taxa is the feature (a figure's rows); ties go to the smaller taxon.
+    """
+    own = rows.filter(F.col(source).isin(first, second) & F.col(taxon).isNotNull())
+    per = own.groupBy(taxon).agg(F.count(F.when(F.col(source) == first, 1)).alias("_a"), F.count(F.when(F.col(source) == second, 1)).alias("_b"))
+    best = per.withColumn("_least", F.least("_a", "_b")).filter(F.col("_least") >= each).orderBy(F.desc("_least"), taxon).limit(taxa)
+    order = placed(best.select(taxon, "_least"), [], [-F.col("_least"), F.col(taxon)], "place")
+    named = own.join(F.broadcast(order.select(taxon, "place")), taxon)  # ``taxa`` rows
+    at = placed(named.select("place", taxon, source, key), [taxon, source], [key], "_rn")
+    size = named.groupBy(taxon, source).agg(F.floor(F.count("*") / each).alias("_step"))
+    strided = at.join(F.broadcast(size), [taxon, source]).filter((F.pmod(F.col("_rn") - 1, F.col("_step")) == 0) & (F.col("_rn") <= F.col("_step") * each))
+    return strided.select("place", taxon, source, key)
+
+
+def concept_counts(rows: DataFrame, concept: str, institution: str, record: str) -> DataFrame:
+    """concept, institution, boxes, records, by concept and institution and in all (null institution summed over)."""
+    return rows.withColumn("_i", F.coalesce(F.col(institution), F.lit("unknown"))).rollup(concept, "_i").agg(F.count("*").alias("boxes"), F.count_distinct(record).alias("records"), F.grouping(concept).alias("_g")).filter("_g = 0").select(concept, F.col("_i").alias("institution"), "boxes", "records")

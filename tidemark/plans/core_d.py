@@ -9,8 +9,8 @@ from tidemark.functions import geometry as G
 from tidemark.functions import keys as K
 from tidemark.functions import stats
 from tidemark.functions import taxa as X
-from tidemark.operators import checks, decisions, evaluation, frames, metadata, resolve, vectors
-from tidemark.plans.core_b import DECIDE_SQL, PROTO_SQL, RES, embedded
+from tidemark.operators import checks, decisions, evaluation, frames, metadata, profile, resolve, sampling, vectors
+from tidemark.plans.core_b import DECIDE_SQL, DRAWS_SQL, PROTO_SQL, RES, embedded
 from tidemark.plans.registry import query
 from tidemark.plans.rehosted import CROPS_SQL, SIGHTINGS_SQL, crops, results, sightings
 from tidemark.session import table
@@ -412,3 +412,22 @@ def address_links(spark: SparkSession, sf: str) -> DataFrame:
         path = F.when(i % 5 == k, p).otherwise(path)
     rows = table(spark, sf, "images").select("image_id", address_parts(F.when(i % 5 < 2, "MBARI").otherwise("NOAA Ocean Exploration"), path).alias("a"))
     return rows.select("image_id", F.element_at("a.tokens", 1).alias("token"), F.col("a.link.space").alias("link_space"), F.col("a.dive.space").alias("dive_space"), F.coalesce("a.link.day", "a.dive.day").alias("day")).distinct()
+
+
+@query("testable_table", DRAWS_SQL + ", d AS (SELECT DISTINCT species, deployment, key FROM f WHERE draw = 0) SELECT d.species, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT d.key) n_crops, count(DISTINCT (source, d.deployment)) n_groups FROM d JOIN crops ON crops.key = d.key GROUP BY d.species")
+def testable_table(spark: SparkSession, sf: str) -> DataFrame:
+    c = crops(spark, sf)
+    drawn = sampling.draws(c, "species", "deployment", "key", 20, 10, 1, 1000, "w")
+    return profile.testable_table(drawn, "species", "deployment", "key", c, "source")
+
+
+@query("shared_examples", f"""{WITH}, p AS (SELECT genus, count(*) FILTER (source = 'A') a, count(*) FILTER (source = 'R') b FROM crops GROUP BY genus), t AS (SELECT genus, row_number() OVER (ORDER BY least(a, b) DESC, genus) place FROM p WHERE least(a, b) >= 3 QUALIFY place <= 12),
+r AS (SELECT place, c.genus, source, key, row_number() OVER (PARTITION BY c.genus, source ORDER BY key) rn, count(*) OVER (PARTITION BY c.genus, source) // 3 s FROM crops c JOIN t ON t.genus = c.genus WHERE source IN ('A', 'R')) SELECT place, genus, source, key FROM r WHERE (rn - 1) % s = 0 AND rn <= s * 3""")
+def shared_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.shared_examples(crops(spark, sf), "genus", "source", "key", "A", "R", 12)
+
+
+@query("concept_counts", f"{WITH}, c AS (SELECT genus, CASE WHEN survey = 2 THEN 'unknown' ELSE 's' || survey END i, deployment FROM crops) SELECT genus, i AS institution, count(*) boxes, count(DISTINCT deployment) records FROM c GROUP BY ROLLUP (genus, i) HAVING grouping(genus) = 0")
+def concept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    c = crops(spark, sf).select("genus", F.when(F.col("survey") != 2, F.concat(F.lit("s"), "survey")).alias("i"), "deployment")
+    return profile.concept_counts(c, "genus", "i", "deployment")
