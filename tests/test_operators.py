@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import decisions, graph, integrity, joins, links, resolve, sampling, shards, units, vectors
+from tidemark.operators import decisions, graph, integrity, joins, links, metadata, resolve, sampling, shards, units, vectors
 
 
 def test_components_of_chains_cycles_and_loops(spark, rows):
@@ -23,6 +23,28 @@ def test_lookup_join_both_ways(spark, rows, limit):
     assert joins.lookup_join(big, small, ["k"], "left_anti", limit=limit).count() == 20
 
 
+def joined(df):
+    """Rows of df, and whether a part of its final plan was broadcast."""
+    got = df.collect()
+    return got, "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how, n", [("inner", 40), ("left", 60), ("left_semi", 40), ("left_anti", 20)])
+def test_salted_lookup_is_not_broadcast(spark, how, n):
+    big, small = spark.range(60).selectExpr("id % 3 AS k", "id AS i"), spark.range(2).selectExpr("id AS k", "'t' AS t")
+    for own, many in ((small, False), (small.filter("k >= 0"), False), (small, True)):  # a size that is known, one that is estimated, one that was measured
+        got, sent = joined(joins.lookup_join(big, own.repartition(2) if many else own, ["k"], how, limit=1))
+        assert len(got) == n and not sent
+
+
+def test_details_of_many_videos_are_not_broadcast(spark):
+    crops, videos = spark.range(300_000).selectExpr("id AS crop", "id % 150000 AS video"), spark.range(120_000).selectExpr("id AS video", "concat('h', id) AS habitat")
+    both, review = metadata.with_details(crops, videos, ["video"], "no video", F.col("crop"))
+    got, sent = joined(review)
+    assert {r["item"] for r in got} == {str(i) for i in range(300_000) if i % 150_000 >= 120_000} and len(got) == 60_000 and not sent
+    assert both.count() == 300_000
+
+
 def tracks(spark):
     boxes = [("V1", 1, 10, 100, 100, 50, 50), ("V1", 1, 11, 102, 101, 50, 50), ("V1", 1, 12, 104, 103, 50, 50), ("V1", 1, 10, 500, 400, 40, 40), ("V1", 1, 11, 503, 402, 40, 40), ("V1", 2, 50, 10, 10, 20, 20), ("V2", 1, 1, 0, 0, 30, 30), ("V2", 1, 5, 1, 1, 30, 30)]
     return spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "ident long, video string, taxon long, frame long, x long, y long, w long, h long")
