@@ -45,6 +45,18 @@ def test_details_of_many_videos_are_not_broadcast(spark):
     assert both.count() == 300_000
 
 
+def test_actions_of_many_concepts_are_not_broadcast(spark):
+    concepts = spark.range(120_000).selectExpr("id AS concept", "CASE WHEN id % 3 = 0 THEN 'class' WHEN id % 3 = 1 THEN 'unlabelled' ELSE 'drop' END AS action")
+    boxes = spark.range(300_000).selectExpr("id % 150000 AS c", "id % 1000 AS image")  # the last 30,000 concepts are not in the map
+    got, sent = joined(metadata.image_actions(metadata.concept_actions(boxes, concepts, "c"), "image"))
+    want = {i: [0, 0, 0, 0] for i in range(1000)}
+    for i in range(300_000):
+        own, c = want[i % 1000], i % 150_000
+        own[0] += 1
+        own[c % 3 + 1 if c < 120_000 else 3] += 1
+    assert {r["image"]: (r["boxes"], r["unlabelled"], r["dropped"], r["usable"]) for r in got} == {i: (n, u, d, k > 0) for i, (n, k, u, d) in want.items()} and not sent
+
+
 def tracks(spark):
     boxes = [("V1", 1, 10, 100, 100, 50, 50), ("V1", 1, 11, 102, 101, 50, 50), ("V1", 1, 12, 104, 103, 50, 50), ("V1", 1, 10, 500, 400, 40, 40), ("V1", 1, 11, 503, 402, 40, 40), ("V1", 2, 50, 10, 10, 20, 20), ("V2", 1, 1, 0, 0, 30, 30), ("V2", 1, 5, 1, 1, 30, 30)]
     return spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "ident long, video string, taxon long, frame long, x long, y long, w long, h long")
