@@ -57,6 +57,13 @@ def test_actions_of_many_concepts_are_not_broadcast(spark):
     assert {r["image"]: (r["boxes"], r["unlabelled"], r["dropped"], r["usable"]) for r in got} == {i: (n, u, d, k > 0) for i, (n, k, u, d) in want.items()} and not sent
 
 
+def test_lineage_of_many_categories_is_not_broadcast(spark):
+    annotations = spark.range(300_000).selectExpr("id AS annotation_id", "id % 150000 AS category_id")
+    categories = spark.range(120_000).selectExpr("id AS category_id", "concat('f', id % 10) AS family", "concat('g', id) AS genus")
+    got, sent = joined(metadata.with_lineage(annotations, categories))
+    assert {(r["annotation_id"], r["family"], r["genus"]) for r in got} == {(i, f"f{i % 150_000 % 10}", f"g{i % 150_000}") for i in range(300_000) if i % 150_000 < 120_000} and len(got) == 240_000 and not sent
+
+
 def tracks(spark):
     boxes = [("V1", 1, 10, 100, 100, 50, 50), ("V1", 1, 11, 102, 101, 50, 50), ("V1", 1, 12, 104, 103, 50, 50), ("V1", 1, 10, 500, 400, 40, 40), ("V1", 1, 11, 503, 402, 40, 40), ("V1", 2, 50, 10, 10, 20, 20), ("V2", 1, 1, 0, 0, 30, 30), ("V2", 1, 5, 1, 1, 30, 30)]
     return spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "ident long, video string, taxon long, frame long, x long, y long, w long, h long")
